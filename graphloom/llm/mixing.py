@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, blo
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     size = [int(r["words"] or 0) for r in sums]
     target = targets(size, [weights[i % len(weights)] for i in range(len(sums))], cap)
-    block = [max(1.0, min(block_words, w / min_blocks)) for w in size]
+    block = [max(1.0, min(float(block_words), w / min_blocks)) for w in size]
     known = spark.createDataFrame(
         [(i, r["source"], size[i], target[i], block[i], max(1, math.ceil(size[i] / shard_words))) for i, r in enumerate(sums)],
         "sid int, of string, source_size bigint, target double, block double, shards bigint",
