@@ -99,6 +99,27 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         yield batch.slice(start)
 
 
+def gathered(batches, column: str, most: int = 24 << 20):
+    """Batches put together or cut until each has about ``most`` bytes of ``column``."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def flush():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+    for batch in batches:
+        for part in pieces(batch, column, most):
+            size = part.column(part.schema.get_field_index(column)).nbytes
+            if held and total + size > most:
+                yield flush()
+                held, total = [], 0
+            if part.num_rows:
+                held.append(part)
+                total += size
+    if held:
+        yield flush()
+
+
 def words_of(texts: pa.Array, lower: bool = True):
     """(codes, bounds, words): each text's words as codes into ``words``, text i at bounds[i]:bounds[i + 1]. Null: empty."""
     texts = pc.fill_null(texts, "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, table
+from .common import gathered, settle, table
 from .tokens import Encoder, default_path, with_end
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -68,16 +68,15 @@ def cut_pieces(docs: DataFrame, size: int, end: int, path: str) -> DataFrame:
 
     def cut(batches):
         encoder = Encoder.of(path)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                ids, counts = with_end(*encoder.encode(part.column(1)), end)
-                data, rows, at = ids.astype("<u4").tobytes(), [], 0
-                for doc, n in zip(part.column(0).to_pylist(), counts.tolist()):
-                    for start in range(0, n, size):
-                        length = min(size, n - start)
-                        rows.append((doc, start, length, zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)]), n))
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for part in gathered(batches, "text"):
+            ids, counts = with_end(*encoder.encode(part.column(1)), end)
+            data, rows, at = memoryview(ids.astype("<u4").tobytes()), [], 0
+            for doc, n in zip(part.column(0).to_pylist(), counts.tolist()):
+                for start in range(0, n, size):
+                    length = min(size, n - start)
+                    rows.append((doc, start, length, zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)]), n))
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -111,16 +110,15 @@ def sequences(docs: DataFrame, packed: DataFrame, size: int = 2048, end: int = 1
 
     def spread(batches):
         encoder = Encoder.of(path)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                ids, counts = with_end(*encoder.encode(part.column(0)), end)
-                rows, at = [], 0
-                for found, n in zip(part.column(1).to_pylist(), counts.tolist()):
-                    rows += [(p["sequence_id"], p["offset"], ids[at + p["start"] : at + p["start"] + p["length"]].tolist()) for p in found]
-                    at += n
-                if rows:
-                    seq, off, own = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(off, pa.int64()), pa.array(own, pa.list_(pa.int32()))], ["sequence_id", "offset", "ids"])
+        for part in gathered(batches, "text"):
+            ids, counts = with_end(*encoder.encode(part.column(0)), end)
+            rows, at = [], 0
+            for found, n in zip(part.column(1).to_pylist(), counts.tolist()):
+                rows += [(p["sequence_id"], p["offset"], ids[at + p["start"] : at + p["start"] + p["length"]].tolist()) for p in found]
+                at += n
+            if rows:
+                seq, off, own = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(off, pa.int64()), pa.array(own, pa.list_(pa.int32()))], ["sequence_id", "offset", "ids"])
 
     spread_out = docs.select("doc_id", "text").join(places, "doc_id").select("text", "places").mapInArrow(spread, "sequence_id bigint, offset bigint, ids array<int>")
     whole = spread_out.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids"))

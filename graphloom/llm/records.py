@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, read_whole, scratch, table, write_whole
+from .common import gathered, read_whole, scratch, table, write_whole
 from .tokens import Encoder, default_path, with_end
 
 _HEAD, _BODY = struct.Struct("<QI"), struct.Struct("<qB")
@@ -67,15 +67,14 @@ def write_records(docs: DataFrame, folder: str, end: int = 2, tokenizer: str | N
     def write(batches):
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         out, offsets, n_ids = bytearray(), [0], 0
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                ids, counts = with_end(*encoder.encode(piece.column(1)), end)
-                at = 0
-                for doc, n in zip(piece.column(0).to_pylist(), counts.tolist()):
-                    out += frame(pack_ids(doc, ids[at : at + n], encoder.width))
-                    offsets.append(len(out))
-                    at += n
-                n_ids += at
+        for piece in gathered(batches, "text"):
+            ids, counts = with_end(*encoder.encode(piece.column(1)), end)
+            at = 0
+            for doc, n in zip(piece.column(0).to_pylist(), counts.tolist()):
+                out += frame(pack_ids(doc, ids[at : at + n], encoder.width))
+                offsets.append(len(out))
+                at += n
+            n_ids += at
         if len(offsets) > 1:
             uri = f"{folder}/part-{part:06d}"
             write_whole(f"{uri}.rec", out)

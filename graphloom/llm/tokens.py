@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 #: White space beyond ASCII, and separators that regular expressions may count as such: texts with it are encoded whole.
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x0b\x0c\x1c-\x1f]")
 
-#: Chunks whose ids a process keeps; they only save work.
-KEPT = 250_000
+#: Bytes of the texts that distinct chunks are put into.
+LINE = 1500
 
 
 def default_path() -> str:
@@ -45,7 +45,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.seen: dict[bytes, np.ndarray] = {}
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     @classmethod
@@ -60,40 +59,43 @@ class Encoder:
             out += [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
         return out
 
-    def _chunks(self, chunks: list[bytes], plain: np.ndarray) -> list[np.ndarray]:
-        """Ids of each chunk. Plain ones (no white space but a leading space) go through the library in lines of many,
-        short enough for its caches; those met before in this process (up to ``KEPT``) are not encoded again."""
-        seen = self.seen
-        if len(seen) > KEPT:
-            seen.clear()
-        out = [seen.get(c) for c in chunks]
-        rest, groups, held = [], [[]], 0
-        for i, (ids, is_plain) in enumerate(zip(out, plain.tolist())):
-            if ids is None and is_plain:
-                groups[-1].append(i)
-                held += len(chunks[i])
-                if held > 1500:
-                    groups.append([])
-                    held = 0
-            elif ids is None:
-                rest.append(i)
-        groups = [g for g in groups if g]
-        for at in range(0, len(groups), 64):
-            part = groups[at : at + 64]
-            lines = [b"\n".join([chunks[i] for i in g]).decode("utf-8", "replace") for g in part]
-            for g, found in zip(part, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-                ids = np.asarray(found.ids, np.uint32)
-                cuts = np.flatnonzero(ids == self.line_break).tolist()
-                if len(cuts) != len(g) - 1:
-                    rest.extend(g)
-                    continue
-                for i, a, b in zip(g, [0, *[x + 1 for x in cuts]], [*cuts, len(ids)]):
-                    out[i] = ids[a:b]
-                    if b - a < 64:
-                        seen[chunks[i]] = out[i].copy()
-        for i, ids in zip(rest, self._whole([chunks[i].decode("utf-8", "replace") for i in rest])):
-            out[i] = ids
-        return out
+    def _chunks(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and length of each chunk's ids) of the chunks flat[at[i]:at[i + 1]].
+
+        Plain chunks (no white space but a leading space) go through the library many to a text, with line breaks
+        between them, in texts that are short enough for its caches; the others one by one.
+        """
+        sizes = np.diff(at)
+        plain = (np.add.reduceat((flat <= 32).astype(np.int32), at[:-1]) == (flat[at[:-1]] == 32)) & (flat[at[1:] - 1] > 32)
+        starts, lengths = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        values, total, i = [], 0, np.flatnonzero(plain)
+        if len(i):
+            room = sizes[i] + 1
+            begin = np.cumsum(room) - room
+            joined = np.full(int(room.sum()), 10, np.uint8)
+            inner = np.arange(int(sizes[i].sum())) - np.repeat(np.cumsum(sizes[i]) - sizes[i], sizes[i])
+            joined[np.repeat(begin, sizes[i]) + inner] = flat[np.repeat(at[i], sizes[i]) + inner]
+            first = np.flatnonzero(np.diff(begin // LINE, prepend=-1))  # of the chunks that a text has
+            cuts, counts = [*begin[first].tolist(), len(joined)], np.diff(np.append(first, len(i))).tolist()
+            data, stop = joined.tobytes(), np.asarray([self.line_break], np.uint32)
+            lines = [data[a : b - 1].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+            for j in range(0, len(lines), 64):
+                for line, n, found in zip(lines[j : j + 64], counts[j : j + 64], self.tokenizer.encode_batch_fast(lines[j : j + 64], add_special_tokens=False)):
+                    ids = np.asarray(found.ids, np.uint32)
+                    if np.count_nonzero(ids == self.line_break) != n - 1:
+                        ids = np.concatenate([x for own in self._whole(line.split("\n")) for x in (own, stop)])[:-1]
+                    values += [ids, stop]
+            ids = np.concatenate(values)
+            ends = np.flatnonzero(ids == self.line_break)
+            starts[i] = np.concatenate([[0], ends[:-1] + 1])
+            lengths[i] = ends - starts[i]
+            values, total = [ids], len(ids)
+        for i in np.flatnonzero(~plain).tolist():
+            (ids,) = self._whole([flat[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")])
+            values.append(ids)
+            starts[i], lengths[i] = total, len(ids)
+            total += len(ids)
+        return np.concatenate(values), starts, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): all ids in order, and how many each text has. A null text is empty."""
@@ -124,15 +126,12 @@ class Encoder:
         codes, distinct = chunks.indices.to_numpy(zero_copy_only=False), chunks.dictionary
         at = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
         flat = np.frombuffer(distinct.buffers()[2], np.uint8)
-        plain = (np.add.reduceat((flat <= 32).astype(np.int32), at[:-1]) == (flat[at[:-1]] == 32)) & (flat[at[1:] - 1] > 32)
-        ids = self._chunks(distinct.to_pylist(), plain)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        values, begin, lengths = self._chunks(flat, at)
         doc = np.searchsorted(offsets, starts, "right") - 1
         sizes = lengths[codes]
         if odd:
             sizes[np.isin(doc, list(odd))] = 0
-        values = np.concatenate(ids)
-        all_ids = ragged(values, (np.cumsum(lengths) - lengths)[codes], sizes)
+        all_ids = ragged(values, begin[codes], sizes)
         counts = np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
         if odd:
             parts, position = [], np.concatenate([[0], np.cumsum(counts)])
