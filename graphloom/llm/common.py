@@ -18,12 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; only Spark's reader opens it, so any store works. Arrow batches are held to 2,000 rows, as
-    texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """One driver table; only Spark's reader opens it, so any store works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to 2,000 rows, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def held_out(column: str = "doc_id", remainder: int = 0) -> Column:
     """crc32(id as text) mod 5 equals ``remainder``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == remainder

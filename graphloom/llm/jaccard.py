@@ -322,7 +322,7 @@ def _check(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Fracti
 
 
 def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document (doc_id, text).
+    """doc_id, h (xxhash64 of the text), n_shingles and component_id of each document (doc_id, text).
 
     Words are what ASCII white space separates, A-Z in lower case; a set is the distinct runs of k words, of fewer words
     the one run of all, without words or text empty and linked with nothing. Two documents link at a Jaccard similarity
@@ -357,13 +357,24 @@ def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     named = sets.select("sid", "least").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     known = settle(named.join(smallest, "label").select("sid", "component_id"), "jaccard-known")
-    out = found.select("doc_id", "n_shingles", "sid").join(known, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = found.select("doc_id", "h", "n_shingles", "sid").join(known, "sid", "left")
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of ``groups``, that of the smallest doc_id (of rows that share it, that of the smallest text
+    hash); rows without words all stay. The columns are those of ``docs``."""
+    names = docs.columns
+    keyed = docs.withColumns({"__id": _id(F.col("doc_id").cast("long")), "__h": F.xxhash64("text"), "__some": F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))})
+    found = groups(docs, **options).filter("n_shingles > 0").select(_id("doc_id").alias("id"), "h", _id("component_id").alias("component"))
+    first = found.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
+    kept = keyed.filter("__some").join(first, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+    return kept.unionByName(keyed.filter("NOT __some")).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents."""
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP5_SQL = r"""
