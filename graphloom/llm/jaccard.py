@@ -31,6 +31,8 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _SIG = 5
 #: Entries for a task that finds tiles, and documents' bytes from which a task makes entries at a time.
 ENTRIES, CHUNK = 3_000_000, 12 << 20
+#: Members of open tiles for a task that compares across components.
+MEMBERS = 20_000
 
 
 class Bands:
@@ -52,8 +54,9 @@ class Bands:
     def of(self, n) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
 
-    def bits(self, t: int) -> int:
-        return max(64, 1 << (2 * self.low[t] - 1).bit_length())
+    def bits(self, t: int, fine: bool = False) -> int:
+        """Width of a bitmap: coarse ones go with pairs, fine ones (a tighter bound) only to tiles that stay open."""
+        return max(64, 1 << ((6 if fine else 2) * self.low[t] - 1).bit_length())
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
@@ -116,7 +119,7 @@ def signatures(s: np.ndarray, t: int, bands: Bands) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = mixed(s + np.uint64(t + 1) * _M)
         bucket = ((x >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if k < 1 << 16 else bucket, kind="stable")
         bucket, x = bucket[order], x[order]
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
         have = bucket[first]
@@ -129,7 +132,7 @@ def signatures(s: np.ndarray, t: int, bands: Bands) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
-    """doc_id, h, sid (name of the set; null if empty), n_shingles and bits of each document (doc_id, h, text)."""
+    """doc_id, h, sid (name of the set; null if empty), n_shingles, coarse bits and fine of each document (doc_id, h, text)."""
 
     def run(batches):
         for batch in batches:
@@ -137,10 +140,10 @@ def _sets(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
                 found = shingle_sets(part.column(2), k)
                 n = [len(s) for s in found]
                 sid = [set_id(s) if len(s) else None for s in found]
-                bits = [bitmap(s, bands.bits(int(bands.of(len(s))))) if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "h", "sid", "n_shingles", "bits"])
+                bits, fine = ([bitmap(s, bands.bits(int(bands.of(len(s))), wide)) if len(s) else None for s in found] for wide in (False, True))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "h", "sid", "n_shingles", "bits", "fine"])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id bigint, h bigint, sid bigint, n_shingles bigint, bits binary")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id bigint, h bigint, sid bigint, n_shingles bigint, bits binary, fine binary")
 
 
 def _entries(docs: DataFrame, bands: Bands, k: int, parts: int) -> DataFrame:
@@ -184,7 +187,9 @@ def _entries(docs: DataFrame, bands: Bands, k: int, parts: int) -> DataFrame:
 
 
 def _tiles(key: tuple, rows: pa.Table) -> pa.Table:
-    """Tiles of at least two different sets: signature, sets and their sizes, in order of size."""
+    """What meets in tiles of at least two different sets. Rows not ``open``: a pair (x, y) of a set and one of the
+    tile's pivots, the two of its sets whose hashes come first (so mostly the same two in all tiles of a group). Rows
+    ``open``: tile x also has set y, of n shingles, and others that are no pivots."""
     sids, sizes, sigs = [], [], []
     for data in rows["payload"].to_pylist():
         m = int(np.frombuffer(data, "<u4", 1)[0])
@@ -213,48 +218,49 @@ def _tiles(key: tuple, rows: pa.Table) -> pa.Table:
     big = (last - first) > 1
     first, last = first[big], last[big]
     picked = ragged(np.arange(len(sig)), first, last - first)
-    offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[picked]))
-    part = key[0].as_py()
-    return pa.table({"tile": pa.array((sig[first].astype(np.int64) << 20) ^ part), "sids": lists(sid), "sizes": lists(n)})
-
-
-def _stars(batches):
-    """Pairs of each member of a tile with one or two pivots of fitting size."""
-    for batch in batches:
-        left, right = [], []
-        for sids, sizes in zip(batch.column(0), batch.column(1)):
-            sid, n = sids.values.to_numpy(), sizes.values.to_numpy()
-            order = mixed(sid.view(np.uint64))
-            for pivot in {int(order.argmin()), int(mixed(order).argmin())}:
-                other = np.delete(np.arange(len(sid)), pivot)
-                left.append(np.minimum(sid[other], sid[pivot]))
-                right.append(np.maximum(sid[other], sid[pivot]))
-        if left:
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+    sid, n, tile = sid[picked], n[picked], np.repeat(np.arange(len(first)), last - first)
+    starts = np.cumsum(last - first) - (last - first)
+    pivot, left, right = np.zeros(len(sid), bool), [], []
+    order = sid.view(np.uint64)
+    for _ in range(2):
+        order = mixed(order)
+        own = order == np.minimum.reduceat(order, starts)[tile] if len(sid) else pivot
+        with_pivot = sid[own][tile]
+        left.append(np.minimum(sid, with_pivot)[~own])
+        right.append(np.maximum(sid, with_pivot)[~own])
+        pivot |= own
+    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if len(sid) else np.zeros((0, 2), np.int64)
+    rest = ~pivot
+    rest &= np.bincount(tile[rest], minlength=len(first))[tile] > 1 if len(sid) else rest
+    name = (sig[first].astype(np.int64)[tile[rest]] << 20) ^ key[0].as_py()
+    return pa.table({
+        "open": np.concatenate([np.zeros(len(pairs), bool), np.ones(len(name), bool)]), "x": np.concatenate([pairs[:, 0], name]),
+        "y": np.concatenate([pairs[:, 1], sid[rest]]), "n": np.concatenate([np.zeros(len(pairs), np.int64), n[rest]]),
+    })
 
 
 def _across(threshold: Fraction, bands: Bands):
-    """Pairs across the components of a tile that bit counts leave, in blocks of rows."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("n", "ascending"), ("sid", "ascending")])
-        n, label, sid = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["sid"].to_numpy()
-        left, right = [], []
-        if len(set(label.tolist())) > 1:
-            width = bands.bits(int(bands.of(int(n[0]))))  # the smallest of them: all bitmaps fold to it
-            bits = np.stack([folded(b, width) for b in rows["bits"].to_pylist()])
-            limit = np.searchsorted(n, np.floor_divide(n * threshold.denominator, threshold.numerator), "right")
-            for i in range(len(n)):
-                j = np.arange(i + 1, limit[i])
-                j = j[label[j] != label[i]]
+    """Pairs across the components of open tiles that bit counts leave; a pair that several tiles here have comes once."""
+
+    def run(key: tuple, rows: pa.Table, fine: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("tile", "ascending"), ("n", "ascending"), ("sid", "ascending")])
+        tile, n, label, sid = (rows[c].to_numpy() for c in ("tile", "n", "label", "sid"))
+        bits_of = dict(zip(fine["of_sid"].to_pylist(), fine["fine"].to_pylist()))
+        limit = np.floor_divide(n * threshold.denominator, threshold.numerator)
+        cuts = np.flatnonzero(np.diff(tile, prepend=tile[:1] - 1)).tolist() if len(tile) else []
+        pairs = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(cuts, [*cuts[1:], len(tile)]):
+            own, size, of = sid[a:b], n[a:b], label[a:b]
+            width = bands.bits(int(bands.of(int(size[0]))), True)  # the smallest of them: all bitmaps fold to it
+            bits = np.stack([folded(bits_of[x], width) for x in own.tolist()])
+            last = np.searchsorted(size, limit[a:b], "right").tolist()
+            for i in range(b - a):
+                j = i + 1 + np.flatnonzero(of[i + 1 : last[i]] != of[i])
                 if len(j):
-                    j = j[linked(bound(bits[i], n[i], bits[j], n[j]), n[i], n[j], threshold)]
-                    left.append(np.minimum(sid[i], sid[j]))
-                    right.append(np.maximum(sid[i], sid[j]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(left) if left else none, "b": np.concatenate(right) if right else none})
+                    j = j[linked(bound(bits[i], size[i], bits[j], size[j]), size[i], size[j], threshold)]
+                    pairs.append(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])], 1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
     return run
 
@@ -337,21 +343,23 @@ def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     found = settle(_sets(docs, bands, k), "jaccard-sets")
     owner = F.min(F.struct(_id("doc_id").alias("doc"), "h")).alias("row")
-    sets = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), owner, F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
+    sets = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), owner, F.max("n_shingles").alias("n"), F.max("bits").alias("bits"), F.max("fine").alias("fine"))
     sets = settle(sets, "jaccard-named")
     total = sets.agg(F.sum(F.when(F.col("n") > 4, F.col("n") + 4).otherwise(0))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.7 * total / ENTRIES))
-    tiles = settle(_entries(docs, bands, k, parts).groupBy("part").applyInArrow(_tiles, "tile bigint, sids array<bigint>, sizes array<bigint>"), "jaccard-tiles")
+    tiles = settle(_entries(docs, bands, k, parts).groupBy("part").applyInArrow(_tiles, "open boolean, x bigint, y bigint, n bigint"), "jaccard-tiles")
     forget(spark)
-    first = settle(tiles.select("sids", "sizes").mapInArrow(_stars, "a bigint, b bigint").distinct(), "jaccard-stars")
+    first = settle(tiles.filter("NOT open").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-stars")
     links = _check(first, sets, docs, exact, k, "jaccard-star")
     labels = components(links)
-    members = tiles.select("tile", F.explode(F.arrays_zip("sids", "sizes")).alias("m")).select("tile", F.col("m.sids").alias("sid"), F.col("m.sizes").alias("n"))
+    members = tiles.filter("open").select(F.col("x").alias("tile"), F.col("y").alias("sid"), "n")
     labelled = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed_tiles = labelled.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("tile")
-    open_tiles = settle(labelled.join(mixed_tiles, "tile"), "jaccard-open")
-    with_bits = open_tiles.join(sets.select("sid", "bits"), "sid")
-    rest = with_bits.groupBy("tile").applyInArrow(_across(exact, bands), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
+    open_tiles = labelled.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("tile")
+    left = settle(labelled.join(open_tiles, "tile"), "jaccard-open")
+    left = left.withColumn("lot", F.pmod(F.xxhash64("tile"), F.lit(max(1, math.ceil(left.count() / MEMBERS)))))
+    wanted = left.select(F.col("lot").alias("of_lot"), F.col("sid").alias("of_sid")).distinct()
+    fine = wanted.join(sets.select(F.col("sid").alias("named"), "fine"), F.col("of_sid") == F.col("named")).select("of_lot", "of_sid", "fine")
+    rest = left.groupBy("lot").cogroup(fine.groupBy("of_lot")).applyInArrow(_across(exact, bands), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
     more = _check(settle(rest, "jaccard-rest"), sets, docs, exact, k, "jaccard-across")
     final = components(links.unionByName(more))
     named = sets.select("sid", "least").join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
