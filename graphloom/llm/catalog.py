@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hnsw, jaccard, langid, media, mixing, packing, quality, records, spans
+from . import hnsw, jaccard, katz, langid, media, mixing, packing, quality, records, spans
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_langid": langid.op2_langid,
     "op3_hnsw": hnsw.op3_hnsw,
+    "op4_katz": katz.op4_katz,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_pack": packing.op6_pack,
     "op7_spans": spans.op7_spans,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -90,6 +92,25 @@ def read_whole(uri: str) -> bytes:
         return f.read()
 
 
+def relieve() -> None:
+    """Give memory that this worker no longer uses back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """A function over batches that gives memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            relieve()
+
+    return wrapped
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Slices of a batch with about ``most`` bytes of ``column`` each; one very long text is a slice by itself."""
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
@@ -103,7 +124,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         yield batch.slice(start)
 
 
-def gathered(batches, column: str, most: int = 24 << 20):
+def gathered(batches, column: str, most: int = 16 << 20):
     """Batches put together or cut until each has about ``most`` bytes of ``column``."""
     held: list[pa.RecordBatch] = []
     total = 0

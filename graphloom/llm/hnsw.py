@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table
+from .common import lean, settle, table
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def _usable(rows: DataFrame, kind: str) -> DataFrame:
                     out.append((x + 0).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
-    return rows.mapInArrow(run, "vec_id bigint, vec binary")
+    return rows.mapInArrow(lean(run), "vec_id bigint, vec binary")
 
 
 def nearest(rows: DataFrame, queries, k: int = 10, shard_rows: int = 4096, m: int = 16, width: int = 64, ef: int = 160, block: int = 512) -> DataFrame:
@@ -245,7 +245,7 @@ def _merged(usable: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted(i)[: k + 1] for i in held.values()], pa.list_(pa.int64()))], ["vec", "ids"])
 
     least = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, k + 1).alias("ids")
-    parts = usable.mapInArrow(local, "vec binary, ids array<bigint>")
+    parts = usable.mapInArrow(lean(local), "vec binary, ids array<bigint>")
     return parts.groupBy("vec", F.pmod(F.col("ids")[0], F.lit(64)).alias("part")).agg(least("ids")).groupBy("vec").agg(least("ids"))
 
 

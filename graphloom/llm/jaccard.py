@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, hashes, mixed, pieces, settle, table, words_of
+from .common import forget, hashes, lean, mixed, pieces, relieve, settle, table, words_of
 from .graphs import components
 from .tokens import ragged
 
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
                 bits, fine = ([bitmap(s, bands.bits(int(bands.of(len(s))), wide)) if len(s) else None for s in found] for wide in (False, True))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "h", "sid", "n_shingles", "bits", "fine"])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id bigint, h bigint, sid bigint, n_shingles bigint, bits binary, fine binary")
+    return docs.select("doc_id", "h", "text").mapInArrow(lean(run), "doc_id bigint, h bigint, sid bigint, n_shingles bigint, bits binary, fine binary")
 
 
 def _entries(docs: DataFrame, bands: Bands, k: int, parts: int) -> DataFrame:
@@ -183,13 +183,14 @@ def _entries(docs: DataFrame, bands: Bands, k: int, parts: int) -> DataFrame:
                 p, payload = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(payload, pa.binary())], ["part", "payload"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part bigint, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "part bigint, payload binary")
 
 
 def _tiles(key: tuple, rows: pa.Table) -> pa.Table:
     """What meets in tiles of at least two different sets. Rows not ``open``: a pair (x, y) of a set and one of the
     tile's pivots, the two of its sets whose hashes come first (so mostly the same two in all tiles of a group). Rows
     ``open``: tile x also has set y, of n shingles, and others that are no pivots."""
+    relieve()
     sids, sizes, sigs = [], [], []
     for data in rows["payload"].to_pylist():
         m = int(np.frombuffer(data, "<u4", 1)[0])
@@ -314,7 +315,7 @@ def _id(column) -> Column:
 def _check(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Fraction, k: int, what: str) -> DataFrame:
     """The pairs of sets (a < b) that are linked: bit counts first, then texts."""
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    passing = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_passing(threshold), "a bigint, b bigint")
+    passing = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(lean(_passing(threshold)), "a bigint, b bigint")
     passing = settle(passing, f"{what}-passing")
     needed = passing.select(F.col("a").alias("sid")).union(passing.select(F.col("b").alias("sid"))).distinct()
     owners = needed.join(sets.select("sid", "row"), "sid").select("sid", "row.*")
@@ -322,7 +323,7 @@ def _check(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Fracti
     forget(docs.sparkSession)
     text = lambda c: texts.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}"))
     both = passing.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    links = settle(both.mapInArrow(_verified(threshold, k), "a bigint, b bigint"), f"{what}-links")
+    links = settle(both.mapInArrow(lean(_verified(threshold, k)), "a bigint, b bigint"), f"{what}-links")
     forget(docs.sparkSession)
     return links
 

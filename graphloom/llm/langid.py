@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, table
+from .common import held_out, lean, pieces, table
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 
@@ -142,7 +142,7 @@ def sample_windows(labelled: DataFrame, per_label: int, per_text: int, seed: int
                 keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang[of[i]] for i in keep.tolist()], pa.string()), pa.array([x[i].tobytes() for i in keep.tolist()], pa.binary())], ["lang", "bytes"])
 
-    rows = chosen.select("lang", "doc_id", "text").mapInArrow(cut, "lang string, bytes binary").limit(4 * per_label * per_text * len(counts)).collect()
+    rows = chosen.select("lang", "doc_id", "text").mapInArrow(lean(cut), "lang string, bytes binary").limit(4 * per_label * per_text * len(counts)).collect()
     labels = sorted(counts)
     rows.sort(key=lambda r: (r["lang"], bytes(r["bytes"])))
     x = np.frombuffer(b"".join(bytes(r["bytes"]) for r in rows), np.uint8).reshape(-1, WINDOW)
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                     score[known] = p[np.arange(len(p)), best][known]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred.tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import lean, pieces, table
 
 FPS, ACROSS, GROUP = 25, 64, 1 << 16
 #: Order in which a block's coefficients are stored: along the diagonals, in turn up and down.
@@ -426,7 +426,7 @@ def clips(media: DataFrame, column: str = "media") -> DataFrame:
 
     packed = media.select(F.col(f"`{column}`").alias("media"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
     shape = f"rest {packed.schema['rest'].dataType.simpleString()}, clips {_CLIPS}"
-    return packed.mapInArrow(read, shape).select("rest", F.explode("clips").alias("clip")).select("rest.*", "clip.*")
+    return packed.mapInArrow(lean(read), shape).select("rest", F.explode("clips").alias("clip")).select("rest.*", "clip.*")
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -440,7 +440,7 @@ def store(docs: DataFrame) -> DataFrame:
                 filled = [t + bytes(-len(t) % ACROSS if t else ACROSS) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encode(filled, [len(t) for t in texts]), pa.binary())], ["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id bigint, media binary")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -465,7 +465,7 @@ def read_back(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     shape = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.mapInArrow(run, shape)
+    return media.mapInArrow(lean(run), shape)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

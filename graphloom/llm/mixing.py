@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, table
+from .common import WORD, lean, settle, table
 
 _SPANS = "array<struct<first:bigint,last:bigint,times:int>>"
 
@@ -189,7 +189,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return mix(docs, spans=True, **options).select("row", "spans").mapInArrow(cut, shape)
+    return mix(docs, spans=True, **options).select("row", "spans").mapInArrow(lean(cut), shape)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, settle, table
+from .common import gathered, lean, settle, table
 from .tokens import Encoder, default_path, with_end
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -78,7 +78,7 @@ def cut_pieces(docs: DataFrame, size: int, end: int, path: str) -> DataFrame:
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut), PIECES)
 
 
 def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None, shard_pieces: int = 2048) -> DataFrame:
@@ -120,7 +120,7 @@ def sequences(docs: DataFrame, packed: DataFrame, size: int = 2048, end: int = 1
                 seq, off, own = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(off, pa.int64()), pa.array(own, pa.list_(pa.int32()))], ["sequence_id", "offset", "ids"])
 
-    spread_out = docs.select("doc_id", "text").join(places, "doc_id").select("text", "places").mapInArrow(spread, "sequence_id bigint, offset bigint, ids array<int>")
+    spread_out = docs.select("doc_id", "text").join(places, "doc_id").select("text", "places").mapInArrow(lean(spread), "sequence_id bigint, offset bigint, ids array<int>")
     whole = spread_out.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids"))
     return whole.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(0), F.lit(size) - F.size("ids"))))
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, read_whole, scratch, table, write_whole
+from .common import gathered, lean, read_whole, scratch, table, write_whole
 from .tokens import Encoder, default_path, with_end
 
 _HEAD, _BODY = struct.Struct("<QI"), struct.Struct("<qB")
@@ -83,7 +83,7 @@ def write_records(docs: DataFrame, folder: str, end: int = 2, tokenizer: str | N
 
     order = ["doc_id", F.xxhash64("text")]
     sorted_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order).sortWithinPartitions("doc_id", "text")
-    rows = sorted_docs.mapInArrow(write, "part bigint, path string, records bigint, ids bigint").collect()
+    rows = sorted_docs.mapInArrow(lean(write), "part bigint, path string, records bigint, ids bigint").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]  # one row a file
 
 
@@ -114,7 +114,7 @@ def read_records(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(spark.sparkContext.parallelize(files, len(files)), "path string, start bigint").mapInArrow(read, shape)
+    return spark.createDataFrame(spark.sparkContext.parallelize(files, len(files)), "path string, start bigint").mapInArrow(lean(read), shape)
 
 
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, pieces, settle, table
+from .common import forget, lean, pieces, settle, table
 
 #: Text is cut behind each run of sentence ends and line breaks; the pieces put together are the text.
 SENTENCE = re.compile(rb"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -48,7 +48,7 @@ def _span_rows(docs: DataFrame) -> DataFrame:
                 h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["did", "th", "pos", "len", "h1", "h2"])
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did bigint, th bigint, pos int, len int, h1 bigint, h2 bigint")
+    return docs.select("did", "th", "text").mapInArrow(lean(run), "did bigint, th bigint, pos int, len int, h1 bigint, h2 bigint")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 counts.append(len(says))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], ["row", "kept", "n_sentences", "n_removed"])
 
-    out = joined.mapInArrow(cut, f"row {row_type.simpleString()}, kept string, n_sentences int, n_removed int")
+    out = joined.mapInArrow(lean(cut), f"row {row_type.simpleString()}, kept string, n_sentences int, n_removed int")
     own = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast("long")} if "n_chars" in taken else {})
     columns = [own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     return out.select(*columns, "n_sentences", "n_removed")
