@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import os
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import scratch, settle
+
+__all__ = ["scratch", "settle"]
+
 #: A word, as every contract here defines it: ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,36 +38,16 @@ def held_out(column: str = "doc_id", remainder: int = 0) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == remainder
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path under the shared folder, new on each call so that runs never meet."""
-    return f"{shared_dir(spark)}/graphloom-{what}-{uuid.uuid4().hex[:12]}"
-
-
-def settle(df: DataFrame, what: str, *by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends in a table that outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, so that its cleaner removes finished shuffle files."""
+    """Let the driver drop what it no longer refers to, so that its cleaner removes finished shuffle files. Listeners
+    hold a query for a moment after its end, hence twice."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
 
 
 def filesystem(uri: str):
@@ -124,7 +107,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         yield batch.slice(start)
 
 
-def gathered(batches, column: str, most: int = 16 << 20):
+def gathered(batches, column: str, most: int = 10 << 20):
     """Batches put together or cut until each has about ``most`` bytes of ``column``."""
     held: list[pa.RecordBatch] = []
     total = 0

@@ -70,7 +70,7 @@ def _chunks(parts: int):
     """Step 1 for a chunk: its bigrams to the parts, its documents to a row of their own."""
 
     def run(batches):
-        for number, batch in enumerate(gathered(batches, "text")):
+        for number, batch in enumerate(gathered(batches, "text", 16 << 20)):
             chunk = TaskContext.get().partitionId() << 24 | number
             codes, bounds, words = words_of(batch.column(2))
             names = np.concatenate([hashes(words), [START, END]]).astype(np.uint64)

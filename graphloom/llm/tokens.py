@@ -27,7 +27,8 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     ends = np.cumsum(lengths)
     if not len(ends) or not ends[-1]:
         return values[:0]
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+    kind = np.int32 if max(len(values), int(ends[-1])) < 1 << 31 else np.int64
+    return values[np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(ends[-1], dtype=kind)]
 
 
 class Encoder:
