@@ -70,7 +70,7 @@ def _chunks(parts: int):
     """Step 1 for a chunk: its bigrams to the parts, its documents to a row of their own."""
 
     def run(batches):
-        for number, batch in enumerate(gathered(batches, "text", 16 << 20)):
+        for number, batch in enumerate(gathered(batches, "text", 8 << 20)):
             chunk = TaskContext.get().partitionId() << 24 | number
             codes, bounds, words = words_of(batch.column(2))
             names = np.concatenate([hashes(words), [START, END]]).astype(np.uint64)
@@ -83,14 +83,16 @@ def _chunks(parts: int):
             following[place] = codes
             before = np.concatenate([[0], following[:-1]])
             before[stops - tokens] = len(names) - 2
-            doc = np.repeat(np.arange(len(n)), tokens)
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), tokens)
             train = ~np.asarray(batch.column(1).to_pylist(), bool)
             kinds, inverse = np.unique(before * len(names) + following, return_inverse=True)
+            del before, following, place, codes
+            inverse = inverse.astype(np.int32)
             counts = np.bincount(inverse, weights=train[doc], minlength=len(kinds)).astype(np.uint32)
             first, second = names[kinds // len(names)], names[kinds % len(names)]
             to = _part(first, parts)
             order = np.lexsort((first, to))
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             first, second, counts, to = first[order], second[order], counts[order], to[order]
             rows = []
@@ -99,7 +101,7 @@ def _chunks(parts: int):
                 at = np.flatnonzero(np.diff(first[a:b], prepend=first[a] + np.uint64(1)) != 0)
                 rows.append((int(to[a]), _KINDS["model"], chunk, _pack(first[a:b][at], np.diff(np.append(at, b - a)).astype(np.uint32), second[a:b], counts[a:b])))
             own = rank[inverse]
-            own = own[np.lexsort((own, doc))]
+            own = (np.sort(doc.astype(np.int64) << 32 | own) & 0xFFFFFFFF).astype(np.int32)
             steps = np.diff(own, prepend=0)
             steps[stops - tokens] = own[stops - tokens]
             ids = np.asarray([i is not None for i in batch.column(0).to_pylist()], np.uint8)
