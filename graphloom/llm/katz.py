@@ -9,8 +9,12 @@ A bigram model over words as tables of packed arrays, one row for what one task
 3. With those, a part knows each discounted or backed-off probability, and answers each chunk bigram by bigram.
 4. A chunk's documents add up the answers.
 
-So no token is a row anywhere, a word pair that is in every document is one entry a chunk, and a word's weight is
-computed where all its followers are. Answers are looked up recursively: bigram, else weight times unigram.
+Bigrams of a hot first word (the start of texts, and words that a sample shows to be common) go to the parts of their
+second words instead, so that no part holds all of them. A second word's count is there, so each part sends counts of
+counts of its share, and their sums, a bounded table, give the weights of hot words exactly.
+
+So no token is a row anywhere, a word pair that is in every document is one entry a chunk, and the weight of a word that
+is not hot is computed where all its followers are. Answers are looked up recursively: bigram, else weight times unigram.
 """
 
 from __future__ import annotations
@@ -28,10 +32,13 @@ from .common import forget, gathered, hashes, held_out, lean, relieve, settle, t
 
 _KINDS = {"model": 0, "words": 1, "ask": 2, "stats": 3, "docs": 4, "told": 5, "answer": 6}
 _MESSAGE = "dst bigint, kind int, src bigint, payload binary"
-#: Stand-ins for the start and the end of a text.
-START, END = np.uint64(1), np.uint64(2)
+#: Stand-ins for the start and the end of a text; hot words have the names from HOT on, in order.
+START, END, HOT = np.uint64(1), np.uint64(2), 3
 #: Counts above this are taken as they are (Katz's k).
 TRUSTED = 5
+#: A hot word's sums, by slot: all its counts; pairs by count, then counts above TRUSTED summed; the same of the unigram
+#: counts of words seen after it. Slots from SEEN on: hot words (by name) and the end seen after it.
+ALL, PAIRS, LOWS, SEEN = 0, 1, 2 + TRUSTED, 3 + 2 * TRUSTED
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -66,14 +73,18 @@ def _part(words: np.ndarray, parts: int) -> np.ndarray:
         return ((words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _chunks(parts: int):
-    """Step 1 for a chunk: its bigrams to the parts, its documents to a row of their own."""
+def _chunks(parts: int, hot: np.ndarray):
+    """Step 1 for a chunk: its bigrams to the parts, its documents to a row of their own. hot: hashes in order of name."""
+    limit = np.uint64(HOT + len(hot))
 
     def run(batches):
         for number, batch in enumerate(gathered(batches, "text", 8 << 20)):
             chunk = TaskContext.get().partitionId() << 24 | number
             codes, bounds, words = words_of(batch.column(2))
             names = np.concatenate([hashes(words), [START, END]]).astype(np.uint64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+                names = np.where(hot[at] == names, at.astype(np.uint64) + np.uint64(HOT), names)
             n = np.diff(bounds)
             tokens = n + 1
             stops = np.cumsum(tokens)
@@ -90,7 +101,7 @@ def _chunks(parts: int):
             inverse = inverse.astype(np.int32)
             counts = np.bincount(inverse, weights=train[doc], minlength=len(kinds)).astype(np.uint32)
             first, second = names[kinds // len(names)], names[kinds % len(names)]
-            to = _part(first, parts)
+            to = _part(np.where(first < limit, second, first), parts)
             order = np.lexsort((first, to))
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
@@ -113,7 +124,21 @@ def _chunks(parts: int):
     return run
 
 
-def _gather(parts: int):
+def _tally(counts: np.ndarray) -> list[int]:
+    """How many are 1 to TRUSTED, and the sum of those above."""
+    return [*np.bincount(counts[counts <= TRUSTED], minlength=TRUSTED + 1)[1:].tolist(), int(counts[counts > TRUSTED].sum())]
+
+
+def _hot_sums(name: int, followers: np.ndarray, counts: np.ndarray, words: np.ndarray, word_count: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """(name, slot, number) of this part's share of a hot word: its followers here and how often each comes."""
+    seen = followers[counts > 0]
+    own = seen[seen >= limit]
+    low = word_count[np.searchsorted(words, own)] if len(own) else np.zeros(0, np.int64)
+    sums = [int(counts.sum()), *_tally(counts), *_tally(low)]
+    return [(name, slot, n) for slot, n in enumerate(sums) if n] + [(name, SEEN + int(w), 1) for w in seen[seen < limit]]
+
+
+def _gather(parts: int, limit: int):
     """Step 2 for a part: its bigrams as one table, its words, its share of the statistics, and what it asks."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -142,11 +167,16 @@ def _gather(parts: int):
         total = np.add.reduceat(count, at)
         first, second = first[at], second[at]
         starts = np.flatnonzero(np.diff(first, prepend=first[0] + np.uint64(1)) != 0)
-        words, word_count = first[starts], np.add.reduceat(total, starts)
-        single = np.where(words == START, 0, word_count)
+        sizes = np.diff(np.append(starts, len(first)))
+        hot = first[starts] < np.uint64(limit)
+        names = np.where(hot, first[starts], 0).astype(np.uint32)
+        words, single = first[starts][~hot], np.add.reduceat(total, starts)[~hot]
         r = np.arange(1, TRUSTED + 2)
-        stats = np.concatenate([[(total == i).sum() for i in r], [(single == i).sum() for i in r], [single.sum(), (single > 0).sum(), word_count[words == START].sum()]])
-        out.append((here, _KINDS["stats"], here, stats.astype("<i8").tobytes()))
+        stats = [*[(total == i).sum() for i in r], *[(single == i).sum() for i in r], single.sum(), (single > 0).sum()]
+        sums = [(0, slot, int(n)) for slot, n in enumerate(stats)]
+        for a, n, name in zip(starts[hot].tolist(), sizes[hot].tolist(), names[hot].tolist()):
+            sums += _hot_sums(name, second[a : a + n], total[a : a + n], words, single, limit)
+        out.append((here, _KINDS["stats"], here, np.asarray(sums, "<i8").tobytes()))
         out.append((here, _KINDS["words"], here, _pack(words, single.astype(np.uint64))))
         asked, index = np.unique(second, return_inverse=True)
         to = _part(asked, parts)
@@ -161,14 +191,14 @@ def _gather(parts: int):
         for src, n in chunk:
             entries.append(np.diff(of[last : last + n], prepend=0).astype(np.uint32))
             last += n
-        out.append((here, _KINDS["model"], here, _pack(np.diff(np.append(starts, len(first))).astype(np.uint32), total.astype(np.uint64), place[index].astype(np.uint32), np.asarray([c for c, _ in chunk], np.int64), np.asarray([n for _, n in chunk], np.uint32), np.concatenate(entries))))
+        out.append((here, _KINDS["model"], here, _pack(sizes.astype(np.uint32), names, total.astype(np.uint64), place[index].astype(np.uint32), np.asarray([c for c, _ in chunk], np.int64), np.asarray([n for _, n in chunk], np.uint32), np.concatenate(entries))))
         return _messages(out)
 
     return run
 
 
-def _tell(ends: int):
-    """Counts of the words that other parts ask for."""
+def _tell(hot: np.ndarray):
+    """Counts of the words that other parts ask for. hot: counts by name of hot words and the end."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         words, counts, asked, out = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], []
@@ -180,7 +210,7 @@ def _tell(ends: int):
         for src, names in asked:
             at = np.minimum(np.searchsorted(words, names), max(0, len(words) - 1))
             found = np.where(words[at] == names, counts[at], 0) if len(words) else np.zeros(len(names), np.uint64)
-            out.append((src, _KINDS["told"], key[0].as_py(), _pack(np.where(names == END, ends, found).astype(np.uint64))))
+            out.append((src, _KINDS["told"], key[0].as_py(), _pack(np.where(names < len(hot), hot[np.minimum(names, len(hot) - 1).astype(np.int64)], found).astype(np.uint64))))
         return _messages(out)
 
     return run
@@ -200,34 +230,43 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What all parts share: discounts, and unigrams over the V words of the training tokens and one unknown."""
-
-    def __init__(self, stats: np.ndarray):
-        self.pairs, single = discounts(stats[: TRUSTED + 1]), discounts(stats[TRUSTED + 1 : 2 * TRUSTED + 2])
+    """What all parts share: discounts, unigrams over the V words of the training tokens and one unknown, and the totals
+    of hot words. ``sums``: (name, slot, number); name 0 has counts of counts of pairs and of other words, and their sums."""
+
+    def __init__(self, sums: list[tuple[int, int, int]], hot_words: int = 0):
+        stats, hot = np.zeros(2 * TRUSTED + 4, np.int64), np.zeros((HOT + hot_words, SEEN + HOT + hot_words), np.int64)
+        for name, slot, number in sums:
+            (hot[name] if name else stats)[slot] += number
+        self.counts = hot[:, ALL].copy()
+        self.counts[END], self.counts[START] = self.counts[START], 0  # the end of a text is a word of its own
         n = stats[TRUSTED + 1 : 2 * TRUSTED + 2].astype(float)
-        tokens, kinds, self.ends = (int(x) for x in stats[2 * TRUSTED + 2 :])
-        if self.ends:  # the end of a text is a word of its own
-            kinds += 1
-            if self.ends <= TRUSTED + 1:
-                n[self.ends - 1] += 1
-                single = discounts(n)
-        self.tokens, self.kinds, self.single = tokens + self.ends, kinds, single
+        for count in self.counts[(self.counts > 0) & (self.counts <= TRUSTED + 1)]:
+            n[count - 1] += 1
+        self.pairs, single = discounts(stats[: TRUSTED + 1]), discounts(n)
+        self.tokens, self.kinds = int(stats[2 * TRUSTED + 2] + self.counts.sum()), int(stats[2 * TRUSTED + 3] + (self.counts > 0).sum())
+        self.single = single
         r = np.arange(1, TRUSTED + 1)
         lost = float((n[:TRUSTED] * r * (1 - single[1:])).sum())
         self.extra = 0.0 if lost > 0 else 0.5  # without small counts, half a token makes room for the unknown
         self.unknown = (lost + self.extra) / (self.tokens + self.extra) if self.tokens else 1.0
+        mass = lambda tally, d: tally[:, :TRUSTED] @ (r * d[1:]) + tally[:, TRUSTED]
+        self.total, self.own = hot[:, ALL].astype(float), mass(hot[:, PAIRS:LOWS], self.pairs)
+        low = mass(hot[:, LOWS:SEEN], single) / (self.tokens + self.extra) if self.tokens else np.zeros(len(hot))
+        self.rest = 1 - low - hot[:, SEEN:] @ np.where(self.counts > 0, self.unigram(self.counts), 0.0)
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         d = np.where(c > TRUSTED, 1.0, self.single[np.minimum(c, TRUSTED)])
         return np.where(c > 0, d * c / (self.tokens + self.extra), self.unknown) if self.tokens else np.ones(len(c))
 
-    def bigrams(self, sizes: np.ndarray, c: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Probabilities of pairs: ``sizes`` of them have the same first word; c are counts, low the unigrams."""
+    def bigrams(self, sizes: np.ndarray, names: np.ndarray, c: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Probabilities of pairs: ``sizes`` of them have the same first word; names of hot ones, else 0; c are counts,
+        low the unigrams."""
         starts = np.cumsum(sizes) - sizes
-        total = np.add.reduceat(c, starts).astype(float)
+        is_hot = names > 0
+        total = np.where(is_hot, self.total[names], np.add.reduceat(c, starts))
         kept = np.where(c > TRUSTED, 1.0, self.pairs[np.minimum(c, TRUSTED)]) * c
-        own = np.add.reduceat(kept, starts)
-        rest = 1 - np.add.reduceat(np.where(c > 0, low, 0.0), starts)
+        own = np.where(is_hot, self.own[names], np.add.reduceat(kept, starts))
+        rest = np.where(is_hot, self.rest[names], 1 - np.add.reduceat(np.where(c > 0, low, 0.0), starts))
         with np.errstate(divide="ignore", invalid="ignore"):
             room = np.where(own < total, 0.0, 0.5)  # a word with large counts only: half a count makes room
             weight = np.where(total > 0, (1 - own / (total + room)) / rest, 1.0)
@@ -250,9 +289,9 @@ def _answer(model: Model):
         if own is None:
             return _messages(out)
         counts = np.concatenate([_unpack(p)[0] for _, p in sorted(told)]).astype(np.int64)
-        sizes, c, index, chunks, lengths, steps = _unpack(own)
+        sizes, names, c, index, chunks, lengths, steps = _unpack(own)
         c = c.astype(np.int64)
-        log = np.log10(model.bigrams(sizes.astype(np.int64), c, model.unigram(counts)[index])).astype(np.float32)
+        log = np.log10(model.bigrams(sizes.astype(np.int64), names.astype(np.int64), c, model.unigram(counts)[index])).astype(np.float32)
         seen, last = counts[index], 0
         for chunk, n in zip(chunks.tolist(), lengths.tolist()):
             at = np.cumsum(steps[last : last + n].astype(np.uint32), dtype=np.uint32)
@@ -296,7 +335,19 @@ def _add(model: Model):
     return run
 
 
-def score(docs: DataFrame, part_bytes: int = 24 << 20) -> DataFrame:
+def hot_hashes(docs: DataFrame, size: int, most: int = 256, sample_bytes: int = 64 << 20) -> np.ndarray:
+    """Sorted hashes of the ``most`` commonest words (of up to 64 characters) in a sample of about ``sample_bytes`` of the
+    texts, taken by hash of id and text. They say where counts meet, not what they are: any choice gives equal scores."""
+    if not most:
+        return np.zeros(0, np.uint64)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, size // sample_bytes))) == 0)
+    words = sample.select(F.explode(F.split(lower, "[ \\t-\\r]+")).alias("word")).filter("length(word) BETWEEN 1 AND 64")
+    common = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    return np.unique(hashes(pa.array([r["word"] for r in common], pa.string())))
+
+
+def score(docs: DataFrame, part_bytes: int = 24 << 20, hot_words: int = 256) -> DataFrame:
     """Scores of all whole texts of ``docs`` (doc_id, text, held_out), by a model of those not held out.
 
     Tokens are the words (A-Z in lower case, cut at ASCII white space) and one end. n_known: tokens with a count in the
@@ -309,15 +360,14 @@ def score(docs: DataFrame, part_bytes: int = 24 << 20) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
-    said = docs.mapInArrow(lean(_chunks(parts)), _MESSAGE).groupBy("dst").applyInArrow(_gather(parts), _MESSAGE)
+    hot = hot_hashes(docs, size, hot_words)
+    said = docs.mapInArrow(lean(_chunks(parts, hot)), _MESSAGE).groupBy("dst").applyInArrow(_gather(parts, HOT + len(hot)), _MESSAGE)
     said = settle(said, "katz-parts", "kind").select("dst", "kind", "src", "payload")
     forget(spark)
     kind = lambda *names: F.col("kind").isin([_KINDS[n] for n in names])
-    width = 2 * TRUSTED + 5
-    rows = said.filter(kind("stats")).mapInArrow(_numbers, "numbers array<bigint>")
-    sums = rows.agg(*[F.sum(F.col("numbers")[i]).alias(f"n{i}") for i in range(width)]).first()
-    model = Model(np.asarray([x or 0 for x in sums], np.int64))
-    told = settle(said.filter(kind("words", "ask")).groupBy("dst").applyInArrow(_tell(model.ends), _MESSAGE), "katz-told")
+    sums = said.filter(kind("stats")).mapInArrow(_numbers, "name bigint, slot bigint, number bigint").groupBy("name", "slot").agg(F.sum("number"))
+    model = Model([tuple(r) for r in sums.collect()], len(hot))  # a bounded table: a row for each hot word and slot
+    told = settle(said.filter(kind("words", "ask")).groupBy("dst").applyInArrow(_tell(model.counts.astype(np.uint64)), _MESSAGE), "katz-told")
     answers = said.filter(kind("model")).unionByName(told).groupBy("dst").applyInArrow(_answer(model), _MESSAGE)
     answers = settle(answers, "katz-answers")
     forget(spark)
@@ -325,9 +375,10 @@ def score(docs: DataFrame, part_bytes: int = 24 << 20) -> DataFrame:
 
 
 def _numbers(batches):
-    """The statistics of each part as an array."""
+    """The statistics of each part as rows (name, slot, number)."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(p, "<i8").tolist() for p in batch.column(3).to_pylist()], pa.list_(pa.int64()))], ["numbers"])
+        for data in batch.column(3).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(data, "<i8").reshape(-1, 3).T.copy()], ["name", "slot", "number"])
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

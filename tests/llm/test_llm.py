@@ -288,11 +288,11 @@ def test_shots():
     assert media.shots([dark] * 5 + [light] * 3) == [(0, 5), (5, 8)] and media.shots([dark]) == [(0, 1)] and media.shots([]) == []
 
 
-@pytest.mark.parametrize("table", ["docs", "odd"])
-def test_katz(request, table):
+@pytest.mark.parametrize("table, hot_words", [("docs", 256), ("docs", 0), ("odd", 5)])
+def test_katz(request, table, hot_words):
     df = request.getfixturevalue(table).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text", held_out(remainder=1).alias("held_out"))
     want, (single, after, uni, prob) = brute([tuple(r) for r in df.collect()])
-    got = {r["doc_id"]: r for r in katz.score(df).collect()}
+    got = {r["doc_id"]: r for r in katz.score(df, hot_words=hot_words).collect()}
     assert got.keys() == want.keys()
     for i, (held, n, known, total, base, score) in want.items():
         r = got[i]
