@@ -131,3 +131,37 @@ def load(spark: SparkSession, path: str, schema: Schema) -> Graph:
     nodes, edges = (spark.read.schema(s).parquet(f"{path}/{n}") for s, n in ((NODE, "nodes"), (EDGE, "edges")))
     order = lambda df, shape: df.select(*[f.split()[0] for f in shape.split(", ")])
     return Graph(schema, order(nodes, NODE), order(edges, EDGE))
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    """(file system, path) by Spark's own means, so that any store that it reads works."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def save(g: Graph, prefix: str) -> str:
+    """Write a snapshot under ``prefix`` and make it the current one, by an empty file that names it with the next number:
+    a reader finds the old snapshot or the new one, never a part. Returns its folder. Of two writers, one wins whole."""
+    path = export(g, prefix)
+    name = path.rpartition("/")[2]
+    fs, mark = _hadoop(g.spark, f"{prefix.rstrip('/')}/_current/{_following(g.spark, prefix)}-{name}")
+    fs.create(mark, False).close()
+    return path
+
+
+def _marks(spark: SparkSession, prefix: str) -> list[tuple[int, str]]:
+    fs, where = _hadoop(spark, f"{prefix.rstrip('/')}/_current")
+    if not fs.exists(where):
+        return []
+    found = (s.getPath().getName().partition("-") for s in fs.listStatus(where))
+    return sorted((int(n), name) for n, _, name in found if n.isdecimal())
+
+
+def _following(spark: SparkSession, prefix: str) -> int:
+    return max((n for n, _ in _marks(spark, prefix)), default=0) + 1
+
+
+def current(spark: SparkSession, prefix: str) -> str | None:
+    """The folder of the current snapshot under ``prefix``; None if nothing was saved there."""
+    marks = _marks(spark, prefix)
+    return f"{prefix.rstrip('/')}/{marks[-1][1]}" if marks else None
