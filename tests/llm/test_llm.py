@@ -230,6 +230,38 @@ def _jpeg(coefficients, pattern, quant, parts, width, height, restart):
     tables = {"dc": ([0] * 3 + [12] + [0] * 12, list(range(12))), "ac": ([0] * 7 + [len(ac_symbols)] + [0] * 8, ac_symbols)}
     code = {k: media.huffman(*t) for k, t in tables.items()}
     put = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_spans_of_short_sentences(spark, n):
+    for end in (". ", "\n"):
+        passage = "".join(" ".join(f"p{i}x{j}" for j in range(n)) + end for i in range(-(-54 // n)))
+        rows = [(1, f"Alpha opens this text.{end}{passage}Alpha closes it."), (2, f"Beta begins here.{end}{passage.upper()}Beta ends there.")]
+        got = {r["doc_id"]: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
+        assert got[2]["text"] == f"Beta begins here.{end}Beta ends there." and got[2]["n_removed"] == -(-54 // n)
+
+
+def test_spans_without_spaces(spark):
+    passage = "春天来了。花都开了！鸟儿在唱歌。我们去山上看花吧？"
+    rows = [(1, f"第一篇的开头。{passage}第一篇的结尾。"), (2, f"另一篇由此开始。{passage}另一篇到此为止。"), (3, "ภาษาไทยเขียนโดยไม่เว้นวรรคระหว่างคำจึงนับทีละตัวอักษรแทนคำทั้งบรรทัด\nหนึ่ง"), (4, "ภาษาไทยเขียนโดยไม่เว้นวรรคระหว่างคำจึงนับทีละตัวอักษรแทนคำทั้งบรรทัด\nสอง")]
+    got = {r["doc_id"]: r["text"] for r in spans.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "另一篇由此开始。另一篇到此为止。", 3: rows[2][1], 4: "สอง"}
+
+
+def test_short_runs_cover_each_repeat():
+    rng = random.Random(6)
+    for _ in range(300):
+        inner = [rng.choice([1, 1, 1, 2, 3, 9, 12]) for _ in range(rng.randint(3, 14))]
+        runs = set()
+        for _ in range(2):  # runs inside a passage do not hang on what is around it
+            before, after = ([rng.randint(1, 12) for _ in range(rng.randint(0, 5))] for _ in range(2))
+            counts = [*before, *inner, *after]
+            all_runs = spans.short_runs(counts) | {(i, 3) for i in range(len(counts) - 2) if sum(counts[i : i + 3]) >= 10}
+            own = {(i - len(before), n) for i, n in all_runs if i >= len(before) and i + n <= len(before) + len(inner)}
+            runs = runs & own if runs else own
+        covered = {k for i, n in runs for k in range(i, i + n)}
+        assert covered == (set(range(len(inner))) if sum(inner) >= 10 else set())
+
+
     show = lambda k, s: format(code[k][s][0], f"0{code[k][s][1]}b")
     streams, bits, before = [], "", [0] * 3
     for i, block in enumerate(coefficients):
