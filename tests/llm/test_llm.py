@@ -418,6 +418,14 @@ def test_nearest_recall_and_odd_rows(spark):
     assert [i for _, i, _ in got[8000]] == [8100]
     assert hnsw.nearest(df.limit(0), F.lit(True)).count() == 0
 
+@pytest.mark.parametrize("kind", ["random", "reversed", "smallest at the high end"])
+def test_components_of_long_chains(spark, kind):
+    n, rng = 1000, random.Random(9)
+    ids = {"random": [rng.getrandbits(64) - (1 << 63) for _ in range(n)], "reversed": list(range(n, 0, -1)), "smallest at the high end": [*range(1, n), 0]}[kind]
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
+    assert {r["node"]: r["label"] for r in components(chain).collect()} == dict.fromkeys(ids, min(ids))
+
+
 
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
