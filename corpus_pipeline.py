@@ -53,9 +53,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages but packing over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages: where each piece stands."""
+    return STAGES[-1][1](spark, prepared(spark, sf_dir), sf_dir)
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages: the packed sequences of ids themselves."""
+    docs = prepared(spark, sf_dir)
+    return packing.sequences(docs, settle(STAGES[-1][1](spark, docs, sf_dir), "pipeline-packing"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import gathered, lean, settle, table
 from .tokens import Encoder, default_path, with_end
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, text_hash bigint"
 
 
 class Windows:
@@ -71,14 +71,14 @@ def cut_pieces(docs: DataFrame, size: int, end: int, path: str) -> DataFrame:
         for part in gathered(batches, "text"):
             ids, counts = with_end(*encoder.encode(part.column(1)), end)
             data, rows, at = memoryview(ids.astype("<u4").tobytes()), [], 0
-            for doc, n in zip(part.column(0).to_pylist(), counts.tolist()):
+            for doc, text_hash, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), counts.tolist()):
                 for start in range(0, n, size):
                     length = min(size, n - start)
-                    rows.append((doc, start, length, zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)]), n))
+                    rows.append((doc, start, length, zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)]), n, text_hash))
                 at += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(cut), PIECES)
 
 
 def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None, shard_pieces: int = 2048) -> DataFrame:
@@ -88,13 +88,14 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
     into shards of about ``shard_pieces``, whatever the document, and each shard is packed by itself: the longest
     piece first, always into the window with the least room that is enough. A shard leaves a window or two half full.
     Null text is empty (one piece, the end id); repeated rows are packed as often as they come; an empty table gives an
-    empty result; other columns are ignored. sequence_id is shard * 2^32 + the window's number there.
+    empty result; other columns are ignored. sequence_id is shard * 2^32 + the window's number there; doc_id and
+    text_hash say whose ids a piece holds (rows equal in both are equal, so any of them fills any of their places).
     """
     cut = settle(cut_pieces(docs, size, end, tokenizer or default_path()), "pack-pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("text_hash", "ascending")])
         window, offset, _ = best_fit(rows["length"].to_numpy(), size)
         return rows.drop_columns("shard").append_column("sequence_id", pa.array((key[0].as_py() << 32) + window)).append_column("offset", pa.array(offset))
 
@@ -103,24 +104,32 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
 
 
 def sequences(docs: DataFrame, packed: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None) -> DataFrame:
-    """The sequences themselves (sequence_id, ids): each document is encoded again beside its places, its ids go to
-    their sequences, and what stays free there is 0. Needs doc_id to be unique."""
+    """The sequences themselves (sequence_id, ids) of ``docs`` and what ``pack`` says of them with the same options.
+
+    Each text of a doc_id is encoded again once; its pieces go to all their places (rows may share doc_id or be equal;
+    doc_id and text may be null), and what stays free is 0. Pieces that are not those packed are an error.
+    """
     path = tokenizer or default_path()
-    places = packed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("places"))
 
     def spread(batches):
         encoder = Encoder.of(path)
         for part in gathered(batches, "text"):
-            ids, counts = with_end(*encoder.encode(part.column(0)), end)
+            ids, counts = with_end(*encoder.encode(part.column(1)), end)
             rows, at = [], 0
-            for found, n in zip(part.column(1).to_pylist(), counts.tolist()):
-                rows += [(p["sequence_id"], p["offset"], ids[at + p["start"] : at + p["start"] + p["length"]].tolist()) for p in found]
+            for doc, text_hash, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), counts.tolist()):
+                for start in range(0, n, size):
+                    own = ids[at + start : at + min(start + size, n)].astype("<u4")
+                    rows.append((doc, text_hash, start, zlib.crc32(own.tobytes()), own))
                 at += n
-            if rows:
-                seq, off, own = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(off, pa.int64()), pa.array(own, pa.list_(pa.int32()))], ["sequence_id", "offset", "ids"])
-
-    spread_out = docs.select("doc_id", "text").join(places, "doc_id").select("text", "places").mapInArrow(lean(spread), "sequence_id bigint, offset bigint, ids array<int>")
+            doc, text_hash, start, crc, own = zip(*rows)
+            arrays = [pa.array(c, pa.int64()) for c in (doc, text_hash, start, crc)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(own, pa.list_(pa.int32()))], ["of", "of_text", "at", "crc", "ids"])
+
+    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["doc_id", "text_hash"])
+    pieces = once.mapInArrow(lean(spread), "of bigint, of_text bigint, at bigint, crc bigint, ids array<int>")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")) & (F.col("start") == F.col("at"))
+    alike = F.when(F.col("ids_crc32") == F.col("crc"), F.col("ids")).otherwise(F.raise_error(F.lit("a packed piece is not one of these documents")))
+    spread_out = packed.join(pieces, same, "left").select("sequence_id", "offset", alike.alias("ids"))
     whole = spread_out.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids"))
     return whole.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(0), F.lit(size) - F.size("ids"))))
 

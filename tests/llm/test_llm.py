@@ -171,6 +171,28 @@ def test_sequences(spark):
     assert sum(i != 0 for r in got for i in r["ids"]) == sum(r["length"] for r in packed.collect())
 
 
+def test_sequences_of_rows_that_share_doc_ids(docs, odd):
+    encoder = tokens.Encoder.of(tokens.default_path())
+    mixed = mixing.mixed_texts(docs).select("doc_id", "text")
+    assert mixed.count() > mixed.select("doc_id").distinct().count()
+    long = " ".join(f"w{i}" for i in range(1500))
+    more = [(1, long), (1, long), (1, long + " x"), (None, long), (None, "other"), (None, None), (2, None), (2, "")]
+    for df in (mixed, odd.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id bigint, text string"))):
+        df, want = df.cache(), Counter()
+        for r in df.collect():
+            ids = [*encoder.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+            want.update((r["doc_id"], i, tuple(ids[i : i + 2048])) for i in range(0, len(ids), 2048))
+        packed = packing.pack(df)
+        got = {r["sequence_id"]: r["ids"] for r in packing.sequences(df, packed).collect()}
+        assert all(len(ids) == 2048 for ids in got.values())
+        found, used = Counter(), Counter()
+        for r in packed.collect():
+            found[r["doc_id"], r["start"], tuple(got[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]])] += 1
+            used[r["sequence_id"]] += r["length"]
+        assert found == want and used.keys() == got.keys()
+        assert all(not any(ids[used[s] :]) for s, ids in got.items())
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_records(spark, request, table):
     df = request.getfixturevalue(table)
@@ -208,28 +230,6 @@ def test_spans(spark):
     assert got[2]["n_removed"] == 3 and got[2]["n_chars"] == len(got[2]["text"])
 
 
-def test_media_round_trip(spark, docs, odd):
-    import hashlib
-
-    for df in (docs, odd):
-        stored = media.store(df)
-        want = Counter()
-        for r in df.collect():
-            raw = (r["text"] or "").encode()
-            full = raw + bytes(-len(raw) % 64 if raw else 64)
-            want[r["doc_id"], len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])] += 1
-        assert Counter(tuple(r)[:5] for r in media.read_back(stored).collect()) == want
-    assert media.clips(stored).filter("clip = 0").count() == len(ODD)
-    bad = spark.createDataFrame([(1, bytearray(b"RIFF")), (2, None), (3, bytearray(b"RIFF\x04\0\0\0AVI "))], "doc_id bigint, media binary")
-    assert media.clips(bad).count() == 0
-
-
-def _jpeg(coefficients, pattern, quant, parts, width, height, restart):
-    """A plain encoder for any coefficients, with 4-bit and 8-bit codes."""
-    ac_symbols = [0, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]
-    tables = {"dc": ([0] * 3 + [12] + [0] * 12, list(range(12))), "ac": ([0] * 7 + [len(ac_symbols)] + [0] * 8, ac_symbols)}
-    code = {k: media.huffman(*t) for k, t in tables.items()}
-    put = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_spans_of_short_sentences(spark, n):
     for end in (". ", "\n"):
@@ -262,6 +262,28 @@ def test_short_runs_cover_each_repeat():
         assert covered == (set(range(len(inner))) if sum(inner) >= 10 else set())
 
 
+def test_media_round_trip(spark, docs, odd):
+    import hashlib
+
+    for df in (docs, odd):
+        stored = media.store(df)
+        want = Counter()
+        for r in df.collect():
+            raw = (r["text"] or "").encode()
+            full = raw + bytes(-len(raw) % 64 if raw else 64)
+            want[r["doc_id"], len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])] += 1
+        assert Counter(tuple(r)[:5] for r in media.read_back(stored).collect()) == want
+    assert media.clips(stored).filter("clip = 0").count() == len(ODD)
+    bad = spark.createDataFrame([(1, bytearray(b"RIFF")), (2, None), (3, bytearray(b"RIFF\x04\0\0\0AVI "))], "doc_id bigint, media binary")
+    assert media.clips(bad).count() == 0
+
+
+def _jpeg(coefficients, pattern, quant, parts, width, height, restart):
+    """A plain encoder for any coefficients, with 4-bit and 8-bit codes."""
+    ac_symbols = [0, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]
+    tables = {"dc": ([0] * 3 + [12] + [0] * 12, list(range(12))), "ac": ([0] * 7 + [len(ac_symbols)] + [0] * 8, ac_symbols)}
+    code = {k: media.huffman(*t) for k, t in tables.items()}
+    put = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
     show = lambda k, s: format(code[k][s][0], f"0{code[k][s][1]}b")
     streams, bits, before = [], "", [0] * 3
     for i, block in enumerate(coefficients):
@@ -396,6 +418,14 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 100: 90}
 
 
+@pytest.mark.parametrize("kind", ["random", "reversed", "smallest at the high end"])
+def test_components_of_long_chains(spark, kind):
+    n, rng = 1000, random.Random(9)
+    ids = {"random": [rng.getrandbits(64) - (1 << 63) for _ in range(n)], "reversed": list(range(n, 0, -1)), "smallest at the high end": [*range(1, n), 0]}[kind]
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
+    assert {r["node"]: r["label"] for r in components(chain).collect()} == dict.fromkeys(ids, min(ids))
+
+
 def test_nearest_recall_and_odd_rows(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
@@ -418,14 +448,6 @@ def test_nearest_recall_and_odd_rows(spark):
     assert [i for _, i, _ in got[8000]] == [8100]
     assert hnsw.nearest(df.limit(0), F.lit(True)).count() == 0
 
-@pytest.mark.parametrize("kind", ["random", "reversed", "smallest at the high end"])
-def test_components_of_long_chains(spark, kind):
-    n, rng = 1000, random.Random(9)
-    ids = {"random": [rng.getrandbits(64) - (1 << 63) for _ in range(n)], "reversed": list(range(n, 0, -1)), "smallest at the high end": [*range(1, n), 0]}[kind]
-    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
-    assert {r["node"]: r["label"] for r in components(chain).collect()} == dict.fromkeys(ids, min(ids))
-
-
 
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
