@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import settle
-from ..errors import NotFound, ValidationError
+from ..durable import numbered, settle
+from ..errors import NotFound, UnknownProperty, ValidationError
 from ..filters import conjunction
-from ..functions.text import jaro_winkler, label, ref
-from ..schema import Schema, ident, property_text, typed
+from ..functions.text import jaro_winkler, label, may_have_stem, ref, stems, terms, words
+from ..schema import Prop, Schema, ident, property_text, typed
 
 NODE = "id bigint, kind string, properties string, created_at timestamp_ntz, updated_at timestamp_ntz"
 EDGE = "id bigint, kind string, from_id bigint, to_id bigint, from_kind string, to_kind string, properties string, created_at timestamp_ntz"
 DEEPEST = 5
+_TAKEN = ("id", "kind", "properties", "created_at", "updated_at")
 
 
 def parse_path(text: str) -> list[tuple[str | None, bool]]:
     """KIND/~KIND/* as (kind or None for any, reversed) for each hop."""
     steps = [s.strip() for s in text.split("/")]
-    if not text.strip() or not all(s.lstrip("~") for s in steps):
+    names = [s.removeprefix("~") for s in steps]
+    if not all(names):
         raise ValidationError(f"no edge path: {text!r}")
-    return [(None if s.lstrip("~") == "*" else ident(s.removeprefix("~")), s.startswith("~")) for s in steps]
+    return [(None if name == "*" else ident(name), s.startswith("~")) for name, s in zip(names, steps)]
+
+
+def columned(props: dict[str, Prop]) -> dict[str, Prop]:
+    """The properties that can be columns beside a node's own: Spark does not tell names apart by case."""
+    names = [p.lower() for p in props]
+    return {k: p for k, p in props.items() if k.lower() not in _TAKEN and names.count(k.lower()) == 1}
 
 
 @dataclass(frozen=True)
 class Graph:
+    """Nodes and edges, with properties as JSON text. What storage knows besides is used where it is given, and left
+    behind by changes: ``tables``, nodes of a kind with typed property columns, so that filters reach the files;
+    ``spans``, the smallest and largest id of each kind; ``inbound``, the edges ordered by their end."""
+
     schema: Schema
     nodes: DataFrame
     edges: DataFrame
+    tables: Mapping[str, DataFrame] = field(default_factory=dict)
+    spans: Mapping[str, tuple[int, int]] = field(default_factory=dict)
+    inbound: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, schema: Schema) -> Graph:
@@ -42,20 +57,36 @@ class Graph:
         return self.nodes.sparkSession
 
     def of(self, **parts) -> Graph:
+        if "nodes" in parts:
+            parts = {"tables": {}, "spans": {}} | parts
+        if "edges" in parts:
+            parts = {"inbound": None} | parts
         return replace(self, **parts)
 
     # -- scans -----------------------------------------------------------------------------------------------------
 
+    def table(self, kind: str) -> DataFrame:
+        """All nodes of a kind: id, ``columned`` properties by type, properties, created_at, updated_at."""
+        props = columned(self.schema.node(kind))
+        if kind in self.tables:
+            return self.tables[kind]
+        return self.nodes.filter(F.col("kind") == kind).select("id", *[typed(k, p).alias(k) for k, p in props.items()], "properties", "created_at", "updated_at")
+
     def typed(self, kind: str, register: bool = False) -> DataFrame:
         """All nodes of a kind with typed property columns; ``register``: also as view v_<kind>."""
         props = self.schema.node(kind)
-        out = self.nodes.filter(F.col("kind") == kind).select("id", *[typed(k, p).alias(k) for k, p in props.items()], "created_at", "updated_at")
+        out = self.table(kind).select("id", *[F.col(k) if k in columned(props) else typed(k, p).alias(k) for k, p in props.items()], "created_at", "updated_at")
         if register:
             out.createOrReplaceTempView(f"v_{kind.lower()}")
         return out
 
+    def _selected(self, kind: str, filters: tuple[str, ...]) -> DataFrame:
+        props = self.schema.node(kind)
+        return self.table(kind).filter(conjunction(filters, props, columned(props)))
+
     def by_id(self, node_id: int) -> DataFrame:
-        return self.nodes.filter(F.col("id") == node_id)
+        found = self.nodes.filter(F.col("id") == node_id)
+        return found.filter(F.col("kind").isin([k for k, (a, b) in self.spans.items() if a <= node_id <= b])) if self.spans else found
 
     def resolve(self, kind: str, node_id: int) -> DataFrame:
         return self.by_id(node_id).filter(F.col("kind") == kind)
@@ -74,9 +105,9 @@ class Graph:
     def incident(self, node_id: int, outgoing: bool = True, incoming: bool = True, kind: str | None = None) -> DataFrame:
         """Edges at a node with their direction; a loop is outgoing. Neither flag is as both."""
         both = outgoing == incoming
-        out, into = F.col("from_id") == node_id, F.col("to_id") == node_id
-        found = self.edges.filter(out | into).withColumn("direction", F.when(out, "out").otherwise("in"))
-        found = found if both else found.filter(F.col("direction") == ("out" if outgoing else "in"))
+        out = self.edges.filter(F.col("from_id") == node_id).withColumn("direction", F.lit("out"))
+        into = (self.edges if self.inbound is None else self.inbound).filter((F.col("to_id") == node_id) & (F.col("from_id") != node_id)).withColumn("direction", F.lit("in"))
+        found = out.unionByName(into) if both else out if outgoing else into
         return found if kind is None else found.filter(F.col("kind") == kind)
 
     def grouped(self, node_id: int, **which) -> DataFrame:
@@ -92,26 +123,26 @@ class Graph:
     # -- find, count -----------------------------------------------------------------------------------------------
 
     def find(self, kind: str, *filters: str, order: str | None = None, limit: int | None = 30) -> DataFrame:
-        """Nodes of a kind that all filters select. order: property[:asc|desc], on text, descending unless asc is said;
-        otherwise the newest id first."""
-        props = self.schema.node(kind)
-        found = self.nodes.filter(F.col("kind") == kind).filter(conjunction(filters, props))
+        """Nodes of a kind that all filters select. order: property[:direction], on text, descending where the direction is
+        lacking or desc in any case, else ascending; without order the newest id first."""
+        found = self._selected(kind, filters).select("id", F.lit(kind).alias("kind"), "properties", "created_at", "updated_at")
         keys = [F.col("id").desc()]
         if order:
             name, _, direction = order.partition(":")
             text = property_text(name)
-            keys = [text.desc_nulls_last() if (direction or "desc") == "desc" else text.asc_nulls_last(), F.col("id").asc()]
+            keys = [text.desc_nulls_last() if (direction or "desc").lower() == "desc" else text.asc_nulls_last(), F.col("id").asc()]
         return found.orderBy(*keys) if limit is None else found.orderBy(*keys).limit(limit)
 
     def count(self, kind: str, *filters: str, by: str | None = None) -> DataFrame:
         """How many nodes of a kind, all or by a property (null is a group)."""
         if by is None:
-            return self.nodes.filter(F.col("kind") == kind).filter(conjunction(filters, self.schema.nodes.get(kind, {}))).agg(F.count("*").alias("n"))
+            found = self._selected(kind, filters) if kind in self.schema.nodes else self.nodes.filter(F.col("kind") == kind).filter(conjunction(filters, {}))
+            return found.agg(F.count("*").alias("n"))
         props = self.schema.node(kind)
         if by not in props:
-            raise ValidationError(f"{kind} has no property {by}")
-        found = self.nodes.filter(F.col("kind") == kind).filter(conjunction(filters, props))
-        return found.groupBy(typed(by, props[by]).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value"))
+            raise UnknownProperty(f"{kind} has no property {by}")
+        value = F.col(by) if by in columned(props) else typed(by, props[by])
+        return self._selected(kind, filters).groupBy(value.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value"))
 
     def kinds(self) -> DataFrame:
         return self.nodes.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
@@ -133,7 +164,8 @@ class Graph:
         for kind, back in parse_path(path):
             if kind is not None:
                 self.schema.edge(kind)
-            steps = self.edges if kind is None else self.edges.filter(F.col("kind") == kind)
+            steps = self.inbound if back and self.inbound is not None else self.edges
+            steps = steps if kind is None else steps.filter(F.col("kind") == kind)
             near, far = ("to_id", "from_id") if back else ("from_id", "to_id")
             steps = steps.select(F.col(near).alias("at"), F.col(far).alias("next"))
             here = here.join(steps, "at").select("start_id", F.col("next").alias("at")).distinct()
@@ -214,31 +246,30 @@ class Graph:
     def search(self, query: str, kind: str | None = None, limit: int = 10, least: float = 0.6) -> DataFrame:
         """Nodes by reciprocal rank of similarity above ``least``, plus a bonus for exact hits; ties go to the smaller id.
 
-        The bonus is larger than any rank counts, so the winners are the best of exact hits and of the others; their ranks
-        are 1 plus how many have a higher score. So the ranking needs a top-k and counts, never one sorted partition."""
-        scored = settle(self.fuzzy(query, kind).filter(F.col("score") > least), "search")
-        winners = scored.orderBy(F.desc("exact"), F.desc("score"), "id").limit(limit)
-        above = winners.alias("w").join(scored.alias("s"), (F.col("s.score") > F.col("w.score")) | ((F.col("s.score") == F.col("w.score")) & (F.col("s.id") <= F.col("w.id"))))
-        ranks = above.groupBy("w.id").agg(F.count("*").alias("rank"))
+        Ranks over all hits come from ranges of them, never from one sorted partition (``numbered``)."""
+        hits = self.fuzzy(query, kind).filter(F.col("score") > least).withColumn("below", -F.col("score"))
+        ranked = numbered(hits, 0, "below", "id", name="rank")
         value = F.lit(1.0) / (F.lit(60.0) + F.col("rank").cast("double")) + F.when(F.col("exact"), F.lit(0.05)).otherwise(F.lit(0.0))
-        return winners.join(ranks, "id").select("id", "kind", "label", value.alias("score")).orderBy(F.desc("score"), "id")
+        return ranked.select("id", "kind", "label", value.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
     def bm25(self, query: str, kind: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """id and score of nodes whose properties hold words of the query."""
+        """id and score of nodes whose properties (keys included) hold words with the stems of the query's words. Words are
+        runs of a-z and 0-9 in lower case; stop words count nowhere. A query without other words finds nothing."""
         nodes = self.nodes if kind is None else self.nodes.filter(F.col("kind") == kind)
-        words = F.filter(F.split(F.lower("properties"), "[^a-z0-9]+"), lambda w: w != "")
-        wanted = sorted({w for w in query.lower().split() if w})
-        docs = nodes.select("id", words.alias("words")).select("id", F.size("words").alias("n"), F.filter("words", lambda w: w.isin(wanted)).alias("hits"))
+        wanted = terms(query)
+        docs = nodes.select("id", words(F.col("properties")).alias("words"))
+        docs = docs.select("id", F.size("words").alias("n"), F.filter("words", lambda w: may_have_stem(w, wanted)).alias("hits"))
         total = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-        hits = docs.select("id", "n", F.explode("hits").alias("word")).groupBy("id", "n", "word").agg(F.count("*").alias("tf"))
-        df = hits.groupBy("word").agg(F.count("*").alias("df"))
+        hits = docs.select("id", "n", F.explode("hits").alias("word")).withColumn("stem", stems(F.col("word"))).filter(F.col("stem").isin(wanted))
+        hits = hits.groupBy("id", "n", "stem").agg(F.count("*").alias("tf"))
+        df = hits.groupBy("stem").agg(F.count("*").alias("df"))
         tf = F.col("tf").cast("double")
         idf = F.log(F.lit(1.0) + (F.lit(float(total["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(float(total["mean"] or 1.0))))
-        return hits.join(df, "word").groupBy("id").agg(F.sum(part).alias("score"))
+        return hits.join(F.broadcast(df), "stem").groupBy("id").agg(F.sum(part).alias("score"))
 
-    def rrf3(self, query: str, kind: str | None = None, limit: int = 10, pool: int = 1000) -> DataFrame:
-        """Reciprocal ranks of BM25 (2.0), exact (1.5) and fuzzy (1.0) hits fused, of the best ``pool`` of each."""
+    def rrf3(self, query: str, kind: str | None = None, limit: int = 10) -> DataFrame:
+        """Reciprocal ranks of BM25 (2.0), exact (1.5) and fuzzy (1.0) hits fused, each over its whole list."""
         fuzzy = settle(self.fuzzy(query, kind), "rrf")
         lists = [
             (2.0, self.bm25(query, kind).select("id", "score")),
@@ -247,15 +278,15 @@ class Graph:
         ]
         parts = []
         for weight, hits in lists:
-            rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-            parts.append(hits.orderBy(F.desc("score"), "id").limit(pool).select("id", (F.lit(weight) / (F.lit(60.0) + rank.cast("double"))).alias("part")))
+            ranked = numbered(hits.withColumn("below", -F.col("score")), 0, "below", "id", name="rank")
+            parts.append(ranked.select("id", (F.lit(weight) / (F.lit(60.0) + F.col("rank").cast("double"))).alias("part")))
         fused = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id").agg(F.sum("part").alias("score"))
         return fused.join(fuzzy.select("id", "kind", "label"), "id").select("id", "kind", "label", "score").orderBy(F.desc("score"), "id").limit(limit)
 
     # -- shorthands ------------------------------------------------------------------------------------------------
 
     def related(self, start: int, kind: str, limit: int = 30) -> DataFrame:
-        """Nodes that share a neighbour along ``kind``, by how many they share."""
+        """The nodes of the walk kind/~kind but the start itself, with how many neighbours they share with it, most first."""
         mine = self.edges.filter((F.col("kind") == kind) & (F.col("from_id") == start)).select("to_id").distinct()
         theirs = self.edges.filter((F.col("kind") == kind) & (F.col("from_id") != start)).select("from_id", "to_id").distinct()
         shared = theirs.join(mine, "to_id").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("shared"))
@@ -264,15 +295,12 @@ class Graph:
     def timeline(self, kind: str, by: str, unit: str = "month") -> DataFrame:
         """Counts of a kind by a time property."""
         props = self.schema.node(kind)
-        at = F.date_trunc(unit, typed(by, props[by])).cast("timestamp_ntz")
-        return self.nodes.filter(F.col("kind") == kind).groupBy(at.alias("at")).agg(F.count("*").alias("n")).orderBy("at")
+        if by not in props:
+            raise UnknownProperty(f"{kind} has no property {by}")
+        at = F.date_trunc(unit, F.col(by)).cast("timestamp_ntz")
+        return self.typed(kind).groupBy(at.alias("at")).agg(F.count("*").alias("n")).orderBy("at")
 
 
 def compact() -> Column:
     """Kind:id "label" """
     return F.concat(ref(), F.lit(' "'), label(), F.lit('"'))
-
-
-def steps_of(depth: float) -> int:
-    """Hops that a depth allows."""
-    return min(DEEPEST, max(0, math.floor(depth)))

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import shared_dir
+from ..durable import scratch
+from ..filters import conjunction, either, lacking
 from ..functions.text import label, ref
 from ..operators import changes
 from ..operators.graph import Graph, compact
-from ..schema import edge_errors, node_errors, property_text
-from ..sources.tables import SCHEMA, STEP, export, graph_from_tables, load, node_id
+from ..schema import Schema, edge_errors, node_errors, property_text
+from ..sources import transcripts
+from ..sources.snapshots import export, export_json, import_json, load
+from ..sources.tables import SCHEMA, STEP, graph_from_tables, node_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +30,7 @@ NODES = f"""n AS (
   UNION ALL SELECT {_B} * 5 + p_partkey, 'Part', p_name, NULL, NULL, p_brand, p_type, p_size, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part
   UNION ALL SELECT {_B} * 6 + o_orderkey, 'Order', NULL, NULL, NULL, NULL, NULL, NULL, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, NULL, NULL, NULL FROM orders
   UNION ALL SELECT {_B} * 7 + doc_id, 'Document', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, lang, source, n_chars FROM documents
+  UNION ALL SELECT DISTINCT {_B} * 8 + conv_id, 'Conversation', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM conversations
   UNION ALL SELECT DISTINCT {_B} * 9 + user_id, 'User', 'user-' || user_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM events
 )"""
 EDGES = f"""e AS (
@@ -78,11 +82,22 @@ query("get_full", f"SELECT n.kind || ':' || n.id AS ref, n.name AS label, x.* FR
 
 @query("export_roundtrip", "SELECT 'nodes' AS part, kind, count(*) AS n FROM n GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM e GROUP BY kind", True, True)
 def _export(g: Graph) -> DataFrame:
-    back = load(g.spark, export(g, shared_dir(g.spark) + "/graphloom-export"), g.schema)
+    back = load(g.spark, export(g, scratch(g.spark, "export")), g.schema)
     count = lambda df, what: df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(what).alias("part"), "kind", "n")
     return count(back.nodes, "nodes").unionByName(count(back.edges, "edges"))
 
 
+@query("export_json", "SELECT kind, count(*) AS n, min(name) AS least, sum(size) AS sizes FROM n WHERE kind IN ('Part', 'Nation', 'Order') GROUP BY kind")
+def _export_json(g: Graph) -> DataFrame:
+    some = g.of(nodes=g.nodes.filter(F.col("kind").isin("Part", "Nation", "Order")), edges=g.edges.filter("kind = 'IN_REGION'"))
+    back = import_json(g.spark, export_json(some, scratch(g.spark, "json")), g.schema).nodes
+    return back.groupBy("kind").agg(F.count("*").alias("n"), F.min(property_text("name")).alias("least"), F.sum(property_text("size").cast("bigint")).alias("sizes"))
+
+
+_STORED = "SELECT id, name, size FROM n WHERE kind = 'Part' AND size > 25 AND brand = 'Brand#11'"
+query("stored_filter", _STORED)(lambda g: load(g.spark, export(g.of(nodes=g.nodes.filter("kind IN ('Part', 'Order')"), edges=g.edges.limit(0)), scratch(g.spark, "stored")), g.schema).table("Part").filter("size > 25 AND brand = 'Brand#11'").select("id", "name", "size"))
+
+
 # -- projections and filters
 
 query("project", "SELECT id, name, size * 2 AS twice, CASE WHEN size > 25 THEN 'large' ELSE 'small' END AS class FROM n WHERE kind = 'Part'")(
@@ -97,8 +112,8 @@ for _name, _filter, _where in (
     ("filter_ge", "size>=25", "size >= 25"),
     ("filter_lt", "size<25", "size < 25"),
     ("filter_le", "size<=25", "size <= 25"),
-    ("filter_contains", "name~EE", "name ILIKE '%EE%'"),
-    ("filter_prefix", "name^G", "name ILIKE 'G%'"),
+    ("filter_contains", "name~EA", "name ILIKE '%EA%'"),
+    ("filter_prefix", "name^RED", "name ILIKE 'RED%'"),
     ("find_and", "size>10,size<=30,name~e", "size > 10 AND size <= 30 AND name ILIKE '%e%'"),
 ):
     query(_name, f"SELECT id, name FROM n WHERE kind = 'Part' AND {_where}")(lambda g, f=_filter: g.find("Part", f, limit=None).select("id", property_text("name").alias("name")))
@@ -106,6 +121,11 @@ query("filter_float", "SELECT id, acctbal FROM n WHERE kind = 'Customer' AND acc
 query("filter_time", "SELECT id, orderdate FROM n WHERE kind = 'Order' AND orderdate >= '1997-01-01'")(lambda g: g.find("Order", "orderdate>=1997-01-01", limit=None).select("id", property_text("orderdate").cast("timestamp_ntz").alias("orderdate")))
 query("find_order_asc", "SELECT id, name FROM n WHERE kind = 'Part' ORDER BY name, id LIMIT 30")(lambda g: g.find("Part", order="name:asc").select("id", property_text("name").alias("name")))
 query("find_order_desc", "SELECT id, name FROM n WHERE kind = 'Part' ORDER BY name DESC, id LIMIT 30")(lambda g: g.find("Part", order="name").select("id", property_text("name").alias("name")))
+query("find_order_case", "SELECT id, name FROM n WHERE kind = 'Part' ORDER BY name DESC, id LIMIT 30")(lambda g: g.find("Part", order="name:DESC").select("id", property_text("name").alias("name")))
+query("find_or_not", "SELECT id FROM n WHERE kind = 'Part' AND (size < 5 OR NOT name ILIKE '%e%')")(
+    lambda g: g.table("Part").filter(either(conjunction(["size<5"], g.schema.node("Part")), ~conjunction(["name~e"], g.schema.node("Part")))).select("id")
+)
+query("find_lacking", "SELECT id, kind FROM n WHERE brand IS NULL")(lambda g: g.nodes.filter(lacking("brand")).select("id", "kind"))
 query("find_limit", "SELECT id FROM n WHERE kind = 'Order' ORDER BY id DESC LIMIT 7")(lambda g: g.find("Order", limit=7).select("id"))
 query("find_compact", """SELECT kind || ':' || id || ' "' || name || '"' AS line FROM n WHERE kind = 'Nation'""")(lambda g: g.find("Nation", limit=None).select(compact().alias("line")))
 query("find_quiet", "SELECT id FROM n WHERE kind = 'Supplier'")(lambda g: g.find("Supplier", limit=None).select("id"))
@@ -165,51 +185,81 @@ def _reach(start: int, via: str, depth: int) -> str:
 _DEEP = "PLACED,CONTAINS,IN_NATION"
 _SHORT = "SELECT CAST({a} AS BIGINT) AS start_id, CAST({b} AS BIGINT) AS target_id, min(d) AS n_hops FROM reach WHERE id = {b} HAVING count(*) > 0"
 for _name, _a, _b, _via, _depth in (
-    ("path_shortest", CUSTOMER, OTHER, _DEEP, 4),
     ("path_via", CUSTOMER, PART, "PLACED,CONTAINS", 4),
     ("path_none", CUSTOMER, OTHER, "IN_REGION", 3),
     ("path_self", CUSTOMER, CUSTOMER, _DEEP, 3),
 ):
     query(_name, _SHORT.format(a=_a, b=_b), False, True, _reach(_a, _via, _depth))(lambda g, a=_a, b=_b, v=_via, d=_depth: g.path(a, b, d, v.split(",")).select("start_id", "target_id", "n_hops"))
-_NAMED = f"SELECT min({_B} * 6 + o_orderkey) AS o FROM orders WHERE o_custkey = 1"
-query("path_hops", f"""SELECT * FROM (SELECT CAST({CUSTOMER} AS BIGINT) AS start_id, (SELECT o FROM ({_NAMED})) AS target_id, 0 AS hop, CAST({CUSTOMER} AS BIGINT) AS node, 'Customer' AS node_kind, (SELECT name FROM n WHERE id = {CUSTOMER}) AS label, NULL AS edge_kind, NULL AS direction
-  UNION ALL SELECT {CUSTOMER}, o, 1, o, 'Order', '', 'PLACED', '>' FROM ({_NAMED})) WHERE target_id IS NOT NULL""")(
-    lambda g: g.path_hops(g.path(CUSTOMER, _first_order(g), 2, ["PLACED"]))
-)
-query("path_render", f"SELECT CAST({CUSTOMER} AS BIGINT) AS start_id, o AS target_id, 'Customer:{CUSTOMER} >PLACED> Order:' || o || '  (1 hop)' AS line FROM ({_NAMED}) WHERE o IS NOT NULL")(
-    lambda g: g.render(g.path(CUSTOMER, _first_order(g), 2, ["PLACED"]))
-)
+_UP = ["PLACED", "IN_NATION", "IN_REGION"]
+_FIRST = f"(SELECT min({_B} * 6 + o_orderkey) FROM orders)"
+_LADDER = f"""SELECT {_B} * 6 + o_orderkey AS o, {_B} * 3 + o_custkey AS c, {_B} * 2 + c_nationkey AS n, {_B} * 1 + n_regionkey AS r, c_name, n_name, r_name
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE {_B} * 6 + o_orderkey = {_FIRST}"""
 
 
-def _first_order(g: Graph) -> int:
-    return g.edges.filter((F.col("kind") == "PLACED") & (F.col("from_id") == CUSTOMER)).agg(F.min("to_id")).first()[0] or -1
+def _up(g: Graph) -> DataFrame:
+    """Paths from the first order to any region: by its customer and nation."""
+    first = g.table("Order").agg(F.min("id")).first()[0] or -1
+    return g.paths(g.table("Region").select(F.lit(first).alias("start_id"), F.col("id").alias("target_id")), 3, _UP)
+
+
+query("path_shortest", f"SELECT o AS start_id, r AS target_id, 3 AS n_hops FROM ({_LADDER})", False, False, "nothing AS (SELECT 1)")(lambda g: _up(g).select("start_id", "target_id", "n_hops"))
+query("path_hops", f"""SELECT start_id, target_id, CAST(hop AS INTEGER) AS hop, node, node_kind, label, edge_kind, direction FROM (
+  SELECT o AS start_id, r AS target_id, 0 AS hop, o AS node, 'Order' AS node_kind, '' AS label, NULL AS edge_kind, NULL AS direction FROM ({_LADDER})
+  UNION ALL SELECT o, r, 1, c, 'Customer', c_name, 'PLACED', '<' FROM ({_LADDER}) UNION ALL SELECT o, r, 2, n, 'Nation', n_name, 'IN_NATION', '>' FROM ({_LADDER})
+  UNION ALL SELECT o, r, 3, r, 'Region', r_name, 'IN_REGION', '>' FROM ({_LADDER}))""", False, False, "nothing AS (SELECT 1)")(lambda g: g.path_hops(_up(g)))
+query("path_render", f"SELECT o AS start_id, r AS target_id, 'Order:' || o || ' <PLACED< Customer:' || c || ' >IN_NATION> Nation:' || n || ' >IN_REGION> Region:' || r || '  (3 hops)' AS line FROM ({_LADDER})", False, False, "nothing AS (SELECT 1)")(
+    lambda g: g.render(_up(g))
+)
 
 
 query("related", "SELECT b.from_id AS id, count(*) AS shared FROM (SELECT DISTINCT to_id FROM e WHERE kind = 'SOLD_BY' AND from_id = {0}) a JOIN (SELECT DISTINCT from_id, to_id FROM e WHERE kind = 'SOLD_BY' AND from_id <> {0}) b ON a.to_id = b.to_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30".format(PART), False, True)(lambda g: g.related(PART, "SOLD_BY"))
 query("timeline", "SELECT date_trunc('month', orderdate)::TIMESTAMP AS at, count(*) AS n FROM n WHERE kind = 'Order' GROUP BY 1")(lambda g: g.timeline("Order", "orderdate"))
+query("conversation_view", f"""SELECT {_B} * 8 + conv_id AS id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_prompt, count(*) AS turns FROM conversations GROUP BY conv_id""", False, False, "nothing AS (SELECT 1)")(
+    lambda g: g.typed("Conversation").select("id", "first_prompt", "turns")
+)
+_TALKS = Schema.parse("""
+[nodes.Session]
+session_id = "string"
+title = "string?"
+first_prompt = "string?"
+tool = "string?"
+[natural_keys]
+Session = ["session_id"]
+""")
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = transcripts.as_graph(transcripts.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "chat"), _TALKS)
+    once = changes.merge(Graph.empty(spark, _TALKS), talks)
+    return changes.merge(once, talks).typed("Session").select("id", "session_id", "first_prompt", "tool")
+
+
+QUERIES["ingest_conversations"] = _ingested
+ORACLE_SQL["ingest_conversations"] = """SELECT row_number() OVER (ORDER BY CAST(conv_id AS VARCHAR)) AS id, CAST(conv_id AS VARCHAR) AS session_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_prompt, 'chat' AS tool FROM conversations GROUP BY conv_id"""
 
 # -- search
 
-_WORD = "green"
+_WORD = "red gear"
 _FUZZY = f"SELECT id, kind, coalesce(name, '') AS label, jaro_winkler_similarity(name, '{_WORD}') AS score, ({PART_TEXT}) ILIKE '%{_WORD}%' AS exact FROM n WHERE kind = 'Part'"
 query("fuzzy_score", f"SELECT id, score FROM ({_FUZZY})")(lambda g: g.fuzzy(_WORD, "Part").select("id", "score"))
 query("exact_match", f"SELECT id, exact FROM ({_FUZZY})")(lambda g: g.fuzzy(_WORD, "Part").select("id", "exact"))
 _RANKED = f"SELECT id, kind, label, 1.0::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY score DESC, id)) + CASE WHEN exact THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM ({_FUZZY}) WHERE score > 0.6"
 query("search", f"SELECT * FROM ({_RANKED}) ORDER BY score DESC, id LIMIT 10")(lambda g: g.search(_WORD, "Part"))
-query("search_kind", f"SELECT id, kind, name AS label, 1.0::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY jaro_winkler_similarity(name, 'GERMAN') DESC, id)) + CASE WHEN name ILIKE '%GERMAN%' THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM n WHERE kind = 'Nation' AND jaro_winkler_similarity(name, 'GERMAN') > 0.6 ORDER BY 4 DESC, 1 LIMIT 5")(
-    lambda g: g.search("GERMAN", "Nation", limit=5)
+query("search_kind", f"SELECT id, kind, name AS label, 1.0::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY jaro_winkler_similarity(name, 'NATION_1') DESC, id)) + CASE WHEN name ILIKE '%NATION_1%' THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS score FROM n WHERE kind = 'Nation' AND jaro_winkler_similarity(name, 'NATION_1') > 0.6 ORDER BY 4 DESC, 1 LIMIT 5")(
+    lambda g: g.search("NATION_1", "Nation", limit=5)
 )
 query("search_rank", f"SELECT id, score FROM ({_RANKED}) ORDER BY score DESC, id LIMIT 50")(lambda g: g.search(_WORD, "Part", limit=50).select("id", "score"))
 _BM25 = f"""w AS (SELECT id, list_filter(string_split_regex(lower({PART_TEXT}), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM n WHERE kind = 'Part'),
-  t AS (SELECT id, len(ws) AS n, len(list_filter(ws, lambda x: x = '{_WORD}')) AS tf FROM w),
-  bm AS (SELECT id, ln(1 + ((SELECT count(*) FROM t) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (SELECT avg(n) FROM t))) AS score
-    FROM t, (SELECT count(*) AS df FROM t WHERE tf > 0) WHERE tf > 0)"""
-query("bm25", "SELECT id, score FROM bm", recursive=_BM25)(lambda g: g.bm25(_WORD, "Part"))
-query("rrf3", f"""SELECT id, any_value(kind) AS kind, any_value(label) AS label, sum(part) AS score FROM (
-  SELECT id, 2.0::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY score DESC, id)) AS part FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 1000
-  UNION ALL SELECT id, 1.5::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY coalesce(score, 0) DESC, id)) FROM f WHERE exact QUALIFY row_number() OVER (ORDER BY coalesce(score, 0) DESC, id) <= 1000
-  UNION ALL SELECT id, 1.0::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY score DESC, id)) FROM f WHERE score > 0.6 QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 1000
-) JOIN f USING (id) GROUP BY id ORDER BY score DESC, id LIMIT 10""".replace("any_value(kind)", "any_value(f.kind)").replace("any_value(label)", "any_value(f.label)"), recursive=f"{_BM25}, f AS ({_FUZZY})")(lambda g: g.rrf3(_WORD, "Part"))
+  t AS (SELECT id, term, len(ws) AS n, len(list_filter(ws, lambda x: x = term OR x = term || 's' OR x = term || 'ed')) AS tf FROM w, (VALUES ('red'), ('gear')) AS q(term)),
+  d AS (SELECT term, count(*) AS df FROM t WHERE tf > 0 GROUP BY 1),
+  bm AS (SELECT id, sum(ln(1 + ((SELECT count(*) FROM w) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (SELECT avg(len(ws)) FROM w)))) AS score
+    FROM t JOIN d USING (term) WHERE tf > 0 GROUP BY id)"""
+query("bm25", "SELECT id, score FROM bm", recursive=_BM25)(lambda g: g.bm25("the red gears", "Part"))
+query("rrf3", f"""SELECT id, any_value(f.kind) AS kind, any_value(f.label) AS label, sum(part) AS score FROM (
+  SELECT id, 2.0::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY round(score, 9) DESC, id)) AS part FROM bm
+  UNION ALL SELECT id, 1.5::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY coalesce(score, 0) DESC, id)) FROM f WHERE exact
+  UNION ALL SELECT id, 1.0::DOUBLE / (60.0::DOUBLE + row_number() OVER (ORDER BY score DESC, id)) FROM f WHERE score > 0.6
+) JOIN f USING (id) GROUP BY id ORDER BY score DESC, id LIMIT 10""", recursive=f"{_BM25}, f AS ({_FUZZY})")(lambda g: g.rrf3(_WORD, "Part"))
 
 # -- changes
 
@@ -225,8 +275,25 @@ def _add(g: Graph) -> DataFrame:
     return changes.add_nodes(g, rows).nodes.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max("id").alias("last"))
 
 
-query("set_merge", "SELECT id, CASE WHEN size > 25 THEN 0 ELSE size END AS size, CASE WHEN size <= 25 THEN brand END AS brand, name FROM n WHERE kind = 'Part'")(
-    lambda g: g.of(nodes=changes.set_where(g.nodes.filter("kind = 'Part'"), property_text("size").cast("bigint") > 25, g.schema.node("Part"), {"size": 0, "brand": None})).typed("Part").select("id", "size", "brand", "name")
+@query("add_many", "SELECT count(*) AS n, count(DISTINCT id) AS ids, min(id) - (SELECT max(id) FROM n) AS first, max(id) - (SELECT max(id) FROM n) AS last FROM (SELECT (SELECT max(id) FROM n) + row_number() OVER () AS id FROM lineitem)")
+def _add_many(g: Graph) -> DataFrame:
+    rows = g.edges.filter("kind = 'CONTAINS'").select(F.lit("User").alias("kind"), F.to_json(F.struct(F.concat(F.lit("line-"), F.col("id").cast("string")).alias("name"))).alias("properties"))
+    last = g.nodes.agg(F.max("id")).first()[0]
+    return changes.new_nodes(g, rows).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), (F.min("id") - last).alias("first"), (F.max("id") - last).alias("last"))
+
+
+#: Parts with a key more than the schema has, a value that does not cast, or text that is no JSON.
+def _strange(g: Graph) -> DataFrame:
+    size = property_text("size").cast("bigint")
+    text = F.when(size % 3 == 0, F.regexp_replace("properties", "^.", '{"extra":1.50,')).when(size % 3 == 1, F.regexp_replace("properties", '"size":[0-9]+', '"size":"wide"')).otherwise(F.lit("not json"))
+    return g.nodes.filter("kind = 'Part'").withColumn("properties", text)
+
+
+query("set_merge", "SELECT id, CASE WHEN size % 3 = 0 THEN 1.5 END AS extra, CASE WHEN size % 3 = 0 THEN CAST(size AS VARCHAR) WHEN size % 3 = 1 THEN 'wide' END AS size, CASE WHEN size % 3 < 2 THEN brand END AS brand, 'new' AS name, CAST(NULL AS VARCHAR) AS ptype FROM n WHERE kind = 'Part'")(
+    lambda g: changes.set_where(_strange(g), F.lit(True), {"name": "new", "ptype": None}).select("id", property_text("extra").cast("double").alias("extra"), *[property_text(c).alias(c) for c in ("size", "brand", "name", "ptype")])
+)
+query("validate_strange", "SELECT id, CASE size % 3 WHEN 0 THEN 'unknown property: extra' WHEN 1 THEN 'not int: size' ELSE 'properties are no JSON object' END AS errors FROM n WHERE kind = 'Part'")(
+    lambda g: _strange(g).select("id", F.array_join(node_errors(g.schema), "|").alias("errors"))
 )
 query("rekind", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN id = {node_id('Nation', 3)} THEN 'Region' ELSE kind END AS kind FROM n WHERE kind IN ('Nation', 'Region')) GROUP BY 1 UNION ALL SELECT to_kind || '<', count(*) FROM (SELECT CASE WHEN to_id = {NATION} THEN 'Region' ELSE to_kind END AS to_kind FROM e WHERE kind = 'IN_NATION') GROUP BY 1", True, True)(
     lambda g: _rekinded(changes.rekind(g, "Nation", NATION, "Region"))
@@ -250,6 +317,13 @@ def _link(g: Graph) -> DataFrame:
     return changes.link(g, rows).edges.groupBy("kind").agg(F.count("*").alias("n"), F.max("id").alias("last"))
 
 
+@query("link_many", "SELECT count(*) AS n, count(DISTINCT id) AS ids, min(id) - (SELECT max(id) FROM e) AS first, max(id) - (SELECT max(id) FROM e) AS last FROM (SELECT (SELECT max(id) FROM e) + row_number() OVER () AS id FROM e WHERE kind = 'SOLD_BY')", False, True)
+def _link_many(g: Graph) -> DataFrame:
+    last = g.edges.agg(F.max("id")).first()[0]
+    new = changes.new_edges(g, g.edges.filter("kind = 'SOLD_BY'").select("kind", "from_id", "to_id", "properties"))
+    return new.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), (F.min("id") - last).alias("first"), (F.max("id") - last).alias("last"))
+
+
 _SOLD = f"(SELECT min(to_id) FROM e WHERE kind = 'SOLD_BY' AND from_id = {PART})"
 
 
@@ -277,9 +351,11 @@ def _broken(g: Graph) -> DataFrame:
 query("validate_edges", "SELECT id, CASE WHEN from_kind = 'Supplier' THEN 'invalid endpoints' ELSE '' END AS errors FROM e WHERE kind = 'IN_NATION'", False, True)(
     lambda g: g.edges.filter("kind = 'IN_NATION'").withColumn("to_kind", F.when(F.col("from_kind") == "Supplier", "Region").otherwise(F.col("to_kind"))).select("id", F.array_join(edge_errors(g.schema), "|").alias("errors"))
 )
-query("schema_desc", f"SELECT * FROM (VALUES {', '.join(str(tuple(r)).replace('None', 'NULL') for r in [('node', k, p, str(d), d.required, '') for k, ps in SCHEMA.nodes.items() for p, d in ps.items()])}) AS t(what, kind, property, type, required, ends)", False, False, "nothing AS (SELECT 1)")(
-    lambda g: g.schema.describe(g.spark).filter("what = 'node'")
-)
+_DESC = [("node", k, p, str(d), d.required, "") for k, ps in SCHEMA.nodes.items() for p, d in ps.items()]
+for _k, _e in SCHEMA.edges.items():
+    _ends = ",".join(_e.sources) + "->" + ",".join(_e.targets)
+    _DESC += [("edge", _k, p, str(d), d.required, _ends) for p, d in _e.props.items()] or [("edge", _k, None, None, None, _ends)]
+query("schema_desc", f"SELECT * FROM (VALUES {', '.join(str(tuple(r)).replace('None', 'NULL') for r in _DESC)}) AS t(what, kind, property, type, required, ends)", False, False, "nothing AS (SELECT 1)")(lambda g: g.schema.describe(g.spark))
 
 
 def _remote(g: Graph) -> Graph:
@@ -297,6 +373,18 @@ query("merge_edges", "SELECT kind, count(*) + CASE WHEN kind = 'IN_REGION' THEN
 query("merge_idmap", f"SELECT a.id + 500 AS remote_id, min(b.id) AS local_id FROM ({_KEYED}) a JOIN ({_KEYED}) b ON a.kind = b.kind AND a.nk = b.nk WHERE a.kind IN ('Region', 'Nation', 'Part') GROUP BY 1")(lambda g: changes.id_map(g, _remote(g)))
 
 
+@query("merge_many", "SELECT count(*) AS n, count(DISTINCT id) AS ids, max(id) - (SELECT max(id) FROM n) AS last, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity, l_linenumber FROM lineitem)) AS edges, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity, l_linenumber FROM lineitem)) AS edge_ids FROM (SELECT (SELECT max(id) FROM n) + row_number() OVER () AS id FROM (SELECT DISTINCT o_orderkey FROM orders))")
+def _merge_many(g: Graph) -> DataFrame:
+    """All orders and what they hold come anew, to parts that are known by their keys."""
+    anew = F.col("kind") == "Order"
+    nodes = g.nodes.filter(F.col("kind").isin("Order", "Part")).withColumn("properties", F.when(anew, F.regexp_replace("properties", "^.", F.concat(F.lit('{"anew":'), F.col("id").cast("string"), F.lit(",")))).otherwise(F.col("properties")))
+    remote = g.of(nodes=nodes.withColumn("id", F.col("id") + F.when(anew, 7).otherwise(0)), edges=g.edges.filter("kind = 'CONTAINS'").withColumn("from_id", F.col("from_id") + 7))
+    fresh, edges = changes.merge_parts(g, remote)
+    last = g.nodes.agg(F.max("id")).first()[0]
+    numbers = edges.agg(F.count("*").alias("edges"), F.countDistinct("id").alias("edge_ids")).first()
+    return fresh.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), (F.max("id") - last).alias("last"), *[F.lit(v).alias(k) for k, v in numbers.asDict().items()])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that each customer's orders hold, by customer: all walks of two hops at once."""
     return QUERIES["walk_batch"](spark, sf_dir)

@@ -1,15 +1,14 @@
-"""A graph over business tables, and graphs as Parquet snapshots."""
+"""A graph over business tables."""
 
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
-from ..schema import Schema
+from ..schema import SPARK_TYPES, Schema
 
 #: Ids of a kind start at its number times this.
 STEP = 10**12
@@ -39,6 +38,9 @@ priority = "string?"
 lang = "string?"
 source = "string?"
 n_chars = "int?"
+[nodes.Conversation]
+first_prompt = "string?"
+turns = "int"
 [nodes.User]
 name = "string"
 [edges.IN_REGION]
@@ -76,9 +78,12 @@ def node_id(kind: str, key: int) -> int:
 
 
 def _nodes(df: DataFrame, kind: str, key: str, **props: Column) -> DataFrame:
+    """A table as nodes with typed property columns: what ``Graph.table`` promises."""
     start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
-    packed = F.to_json(F.struct(*[c.alias(k) for k, c in sorted(props.items())]))
-    return df.select((F.lit(NUMBER[kind] * STEP) + F.col(key).cast("long")).alias("id"), F.lit(kind).alias("kind"), packed.alias("properties"), start.alias("created_at"), start.alias("updated_at"))
+    text = {k: F.date_format(c, "yyyy-MM-dd HH:mm:ss") if SCHEMA.nodes[kind][k].type == "timestamp" else c for k, c in props.items()}
+    packed = F.to_json(F.struct(*[c.alias(k) for k, c in sorted(text.items())]))
+    own = [props[k].cast(SPARK_TYPES[p.type]).alias(k) for k, p in SCHEMA.nodes[kind].items()]
+    return df.select((F.lit(NUMBER[kind] * STEP) + F.col(key).cast("long")).alias("id"), *own, packed.alias("properties"), start.alias("created_at"), start.alias("updated_at"))
 
 
 def _edges(df: DataFrame, number: int, kind: str, a: tuple[str, str], b: tuple[str, str], own: Column, **props: Column) -> DataFrame:
@@ -89,20 +94,24 @@ def _edges(df: DataFrame, number: int, kind: str, a: tuple[str, str], b: tuple[s
 
 
 def graph_from_tables(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nodes and edges as a union of scans: a filter on kind leaves only the tables that hold it."""
+    """Nodes and edges as a union of scans: a filter on kind leaves only the tables that hold it, and filters on the
+    properties of one kind are filters on its table's columns."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     c = F.col
     line = c("l_orderkey").cast("long") * 8 + c("l_linenumber")
-    nodes = [
-        _nodes(t("region"), "Region", "r_regionkey", name=c("r_name")),
-        _nodes(t("nation"), "Nation", "n_nationkey", name=c("n_name")),
-        _nodes(t("customer"), "Customer", "c_custkey", name=c("c_name"), acctbal=c("c_acctbal"), mktsegment=c("c_mktsegment")),
-        _nodes(t("supplier"), "Supplier", "s_suppkey", name=c("s_name"), acctbal=c("s_acctbal")),
-        _nodes(t("part"), "Part", "p_partkey", name=c("p_name"), brand=c("p_brand"), ptype=c("p_type"), size=c("p_size")),
-        _nodes(t("orders"), "Order", "o_orderkey", status=c("o_orderstatus"), totalprice=c("o_totalprice"), orderdate=F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), priority=c("o_orderpriority")),
-        _nodes(t("documents"), "Document", "doc_id", lang=c("lang"), source=c("source"), n_chars=c("n_chars")),
-        _nodes(t("events").select("user_id").distinct(), "User", "user_id", name=F.concat(F.lit("user-"), c("user_id").cast("string"))),
-    ]
+    first = F.min_by(F.when(c("role") == "user", c("text")), F.when(c("role") == "user", c("turn")))
+    talks = t("conversations").groupBy("conv_id").agg(first.alias("first_prompt"), F.count("*").alias("turns"))
+    tables = {
+        "Region": _nodes(t("region"), "Region", "r_regionkey", name=c("r_name")),
+        "Nation": _nodes(t("nation"), "Nation", "n_nationkey", name=c("n_name")),
+        "Customer": _nodes(t("customer"), "Customer", "c_custkey", name=c("c_name"), acctbal=c("c_acctbal"), mktsegment=c("c_mktsegment")),
+        "Supplier": _nodes(t("supplier"), "Supplier", "s_suppkey", name=c("s_name"), acctbal=c("s_acctbal")),
+        "Part": _nodes(t("part"), "Part", "p_partkey", name=c("p_name"), brand=c("p_brand"), ptype=c("p_type"), size=c("p_size")),
+        "Order": _nodes(t("orders"), "Order", "o_orderkey", status=c("o_orderstatus"), totalprice=c("o_totalprice"), orderdate=c("o_orderdate"), priority=c("o_orderpriority")),
+        "Document": _nodes(t("documents"), "Document", "doc_id", lang=c("lang"), source=c("source"), n_chars=c("n_chars")),
+        "Conversation": _nodes(talks, "Conversation", "conv_id", first_prompt=c("first_prompt"), turns=c("turns")),
+        "User": _nodes(t("events").select("user_id").distinct(), "User", "user_id", name=F.concat(F.lit("user-"), c("user_id").cast("string"))),
+    }
     edges = [
         _edges(t("nation"), 1, "IN_REGION", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), c("n_nationkey").cast("long")),
         _edges(t("customer"), 2, "IN_NATION", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), c("c_custkey").cast("long")),
@@ -111,57 +120,6 @@ def graph_from_tables(spark: SparkSession, sf_dir: str) -> Graph:
         _edges(t("lineitem"), 5, "CONTAINS", ("Order", "l_orderkey"), ("Part", "l_partkey"), line, quantity=c("l_quantity"), linenumber=c("l_linenumber")),
         _edges(t("lineitem"), 6, "SOLD_BY", ("Part", "l_partkey"), ("Supplier", "l_suppkey"), line, quantity=c("l_quantity"), linenumber=c("l_linenumber")),
     ]
+    nodes = [df.select("id", F.lit(k).alias("kind"), "properties", "created_at", "updated_at") for k, df in tables.items()]
     join = lambda parts: functools.reduce(DataFrame.unionByName, parts)
-    return Graph(SCHEMA, join(nodes), join(edges))
-
-
-def export(g: Graph, prefix: str) -> str:
-    """Write a snapshot under ``prefix`` and return its folder: nodes by kind, edges by kind and ordered by their start,
-    so that a kind is a folder and a start a few row groups. Snapshots are never overwritten."""
-    path = f"{prefix.rstrip('/')}/{uuid.uuid4().hex}"
-    g.nodes.write.partitionBy("kind").parquet(f"{path}/nodes")
-    g.edges.sortWithinPartitions("kind", "from_id").write.partitionBy("kind").parquet(f"{path}/edges")
-    return path
-
-
-def load(spark: SparkSession, path: str, schema: Schema) -> Graph:
-    """A snapshot as a graph; a filter on kind reads only its folder."""
-    from ..operators.graph import EDGE, NODE
-
-    nodes, edges = (spark.read.schema(s).parquet(f"{path}/{n}") for s, n in ((NODE, "nodes"), (EDGE, "edges")))
-    order = lambda df, shape: df.select(*[f.split()[0] for f in shape.split(", ")])
-    return Graph(schema, order(nodes, NODE), order(edges, EDGE))
-
-
-def _hadoop(spark: SparkSession, uri: str):
-    """(file system, path) by Spark's own means, so that any store that it reads works."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def save(g: Graph, prefix: str) -> str:
-    """Write a snapshot under ``prefix`` and make it the current one, by an empty file that names it with the next number:
-    a reader finds the old snapshot or the new one, never a part. Returns its folder. Of two writers, one wins whole."""
-    path = export(g, prefix)
-    name = path.rpartition("/")[2]
-    fs, mark = _hadoop(g.spark, f"{prefix.rstrip('/')}/_current/{_following(g.spark, prefix)}-{name}")
-    fs.create(mark, False).close()
-    return path
-
-
-def _marks(spark: SparkSession, prefix: str) -> list[tuple[int, str]]:
-    fs, where = _hadoop(spark, f"{prefix.rstrip('/')}/_current")
-    if not fs.exists(where):
-        return []
-    found = (s.getPath().getName().partition("-") for s in fs.listStatus(where))
-    return sorted((int(n), name) for n, _, name in found if n.isdecimal())
-
-
-def _following(spark: SparkSession, prefix: str) -> int:
-    return max((n for n, _ in _marks(spark, prefix)), default=0) + 1
-
-
-def current(spark: SparkSession, prefix: str) -> str | None:
-    """The folder of the current snapshot under ``prefix``; None if nothing was saved there."""
-    marks = _marks(spark, prefix)
-    return f"{prefix.rstrip('/')}/{marks[-1][1]}" if marks else None
+    return Graph(SCHEMA, join(nodes), join(edges), tables, {k: (NUMBER[k] * STEP, NUMBER[k] * STEP + STEP - 1) for k in tables})

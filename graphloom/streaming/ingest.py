@@ -1,26 +1,37 @@
-"""Streams of node rows into a snapshot folder, each natural key once."""
+"""Streams of node rows into a graph's folder, each natural key once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import settle
+from ..operators.changes import natural_key, new_nodes
+from ..operators.graph import Graph
 from ..schema import Schema, node_errors
+from ..sources.snapshots import Store
 
 
-def ingest(stream: DataFrame, schema: Schema, key: str, path: str, checkpoint: str):
-    """Write rows (kind, properties) of a stream that the schema allows to ``path``, the first of each value of the
-    property ``key``; later ones and repeats of a batch after a failure are dropped. Returns the streaming query."""
+def ingest(stream: DataFrame, schema: Schema, prefix: str, rejected: str, checkpoint: str):
+    """Add rows (kind, properties) of a stream to the graph in ``prefix`` (``Store``), the first of each natural key;
+    later ones, and those of a batch that runs again after a failure, are there already and add nothing. Rows that the
+    schema does not allow go to the folder ``rejected`` with their errors and the number of their batch, which a batch
+    that runs again replaces. A batch reads the keys of the kinds that it brings and writes only what it adds. Returns
+    the streaming query."""
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        rows = batch.withColumn("key", F.get_json_object("properties", f"$.{key}"))
-        rows = rows.filter((F.size(node_errors(schema)) == 0) & F.col("key").isNotNull()).dropDuplicates(["kind", "key"])
-        try:
-            known = batch.sparkSession.read.parquet(path).select("kind", "key")
-            rows = rows.join(known, ["kind", "key"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.select("kind", "key", "properties").write.mode("append").parquet(path)
+    def add(batch: DataFrame, number: int) -> None:
+        checked = settle(batch.select("kind", F.coalesce("properties", F.lit("{}")).alias("properties")).withColumn("errors", node_errors(schema)), "ingest")
+        checked.filter(F.size("errors") > 0).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/batch={number}")
+        good = checked.filter(F.size("errors") == 0).select("kind", "properties", natural_key(schema).alias("nk"))
+        good = good.groupBy("kind", "nk").agg(F.min("properties").alias("properties"))
+        kinds = [r["kind"] for r in good.select("kind").distinct().limit(len(schema.nodes)).collect()]
 
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        def fresh(g: Graph):
+            known = g.nodes.filter(F.col("kind").isin(kinds)).select("kind", natural_key(schema).alias("nk"))
+            rows = settle(good.join(known, ["kind", "nk"], "left_anti"), "ingest-new")
+            return (None, None) if rows.isEmpty() else (new_nodes(g, rows), None)
+
+        if kinds:
+            Store(batch.sparkSession, prefix, schema).change(fresh)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
