@@ -83,7 +83,7 @@ def as_graph(sessions: DataFrame, schema: Schema, layout: Layout = Layout()) ->
 
 def sessions(g: Graph, layout: Layout = Layout(), limit: int | None = 30, **named: str) -> DataFrame:
     """Sessions, the newest first: of a tool, and of a project, branch or model by name (``Layout.links``)."""
-    found = g.find(layout.session, *[f"tool={named['tool']}"] * ("tool" in named), limit=None)
+    found = g.find(layout.session, *([f"tool={named['tool']}"] if "tool" in named else []), limit=None)
     for column, value in named.items():
         if column == "tool":
             continue
