@@ -69,6 +69,41 @@ def write_whole(uri: str, data: bytes | bytearray | memoryview) -> None:
     where.move(temporary, path)
 
 
+@contextlib.contextmanager
+def writing(*uris: str):
+    """Streams to files that appear, in order, only when all is written: a lost or repeated task leaves no half file."""
+    open_files = []
+    try:
+        for uri in uris:
+            where, path = filesystem(uri)
+            where.create_dir(os.path.dirname(path), recursive=True)
+            temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+            open_files.append((where, temporary, path, where.open_output_stream(temporary)))
+        yield [f[3] for f in open_files]
+        for where, temporary, path, out in open_files:
+            out.close()
+            where.move(temporary, path)
+    except BaseException:
+        for where, temporary, _, out in open_files:
+            out.close()
+            with contextlib.suppress(OSError):
+                where.delete_file(temporary)
+        raise
+
+
+def blocks(uri: str, size: int = 8 << 20):
+    """A file's bytes, ``size`` at a time."""
+    where, path = filesystem(uri)
+    with where.open_input_stream(path) as f:
+        while data := f.read(size):
+            yield data
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's planner takes ``df`` to be, from file sizes; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def read_whole(uri: str) -> bytes:
     where, path = filesystem(uri)
     with where.open_input_stream(path) as f:

@@ -6,8 +6,9 @@ A bigram model over words as tables of packed arrays, one row for what one task
    keep, packed, which of the chunk's bigrams they have how often.
 2. A part holds all bigrams of its words: counts, the counts of the words themselves, and counts of counts, which sum to
    the model's discounts. It asks the parts of the second words for their counts.
-3. With those, a part knows each discounted or backed-off probability, and answers each chunk bigram by bigram.
-4. A chunk's documents add up the answers.
+3. With those, a part knows each discounted probability and each backoff weight, and answers each chunk bigram by bigram,
+   in double precision, with the second word's count.
+4. A chunk's documents take the answers: a seen bigram's probability, else its weight times the unigram's, and add up.
 
 Bigrams of a hot first word (the start of texts, and words that a sample shows to be common) go to the parts of their
 second words instead, so that no part holds all of them. A second word's count is there, so each part sends counts of
@@ -63,6 +64,11 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _messages(rows: list[tuple]) -> pa.Table:
     dst, kind, src, payload = zip(*rows) if rows else ((), (), (), ())
     return pa.table({"dst": pa.array(dst, pa.int64()), "kind": pa.array(kind, pa.int32()), "src": pa.array(src, pa.int64()), "payload": pa.array(payload, pa.binary())})
@@ -259,8 +265,9 @@ class Model:
         return np.where(c > 0, d * c / (self.tokens + self.extra), self.unknown) if self.tokens else np.ones(len(c))
 
     def bigrams(self, sizes: np.ndarray, names: np.ndarray, c: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Probabilities of pairs: ``sizes`` of them have the same first word; names of hot ones, else 0; c are counts,
-        low the unigrams."""
+        """What pairs have of their probability: the whole of it where they are seen, else the weight by which their
+        second word's (``low``) is to be multiplied. ``sizes`` of them have the same first word; names of hot ones, else
+        0; c are counts."""
         starts = np.cumsum(sizes) - sizes
         is_hot = names > 0
         total = np.where(is_hot, self.total[names], np.add.reduceat(c, starts))
@@ -272,7 +279,7 @@ class Model:
             weight = np.where(total > 0, (1 - own / (total + room)) / rest, 1.0)
             whole = rest <= 1e-12  # all words are seen after it: nothing to back off to
             seen = np.where(np.repeat(whole, sizes), c / np.repeat(total, sizes), kept / np.repeat(total + room, sizes))
-        return np.where(c > 0, seen, np.repeat(np.where(whole, 1.0, weight), sizes) * low)
+        return np.where(c > 0, seen, np.repeat(np.where(whole, 1.0, weight), sizes))
 
 
 def _answer(model: Model):
@@ -291,11 +298,12 @@ def _answer(model: Model):
         counts = np.concatenate([_unpack(p)[0] for _, p in sorted(told)]).astype(np.int64)
         sizes, names, c, index, chunks, lengths, steps = _unpack(own)
         c = c.astype(np.int64)
-        log = np.log10(model.bigrams(sizes.astype(np.int64), names.astype(np.int64), c, model.unigram(counts)[index])).astype(np.float32)
-        seen, last = counts[index], 0
+        share = model.bigrams(sizes.astype(np.int64), names.astype(np.int64), c, model.unigram(counts)[index])
+        single, last = counts[index], 0
         for chunk, n in zip(chunks.tolist(), lengths.tolist()):
             at = np.cumsum(steps[last : last + n].astype(np.uint32), dtype=np.uint32)
-            out.append((chunk, _KINDS["answer"], key[0].as_py(), _pack(log[at], seen[at].astype(np.uint64))))
+            values, codes = np.unique(share[at], return_inverse=True)  # few, as most counts are small
+            out.append((chunk, _KINDS["answer"], key[0].as_py(), _pack(values, _narrow(codes), (c[at] > 0).astype(np.uint8), _narrow(single[at]))))
             last += n
         return _messages(out)
 
@@ -318,9 +326,11 @@ def _add(model: Model):
                 own = payload
         docs, known, held, tokens, steps, parts, lengths = _unpack(own)
         found = [_unpack(answers[p]) for p in parts.tolist()]
-        if [len(f[0]) for f in found] != lengths.tolist():
+        if [len(f[1]) for f in found] != lengths.tolist():
             raise ValueError("answers do not fit the chunk")
-        log, count = np.concatenate([f[0] for f in found]).astype(np.float64), np.concatenate([f[1] for f in found]).astype(np.float64)
+        count = np.concatenate([f[3] for f in found]).astype(np.int64)
+        share, seen = np.concatenate([f[0][f[1]] for f in found]), np.concatenate([f[2] for f in found]).astype(bool)
+        log = np.log10(np.where(seen, share, share * model.unigram(count)))
         starts = np.cumsum(tokens.astype(np.int64)) - tokens
         sums = np.cumsum(steps.astype(np.int64))
         at = sums - np.repeat(np.concatenate([[0], sums])[starts], tokens)
@@ -347,7 +357,7 @@ def hot_hashes(docs: DataFrame, size: int, most: int = 256, sample_bytes: int =
     return np.unique(hashes(pa.array([r["word"] for r in common], pa.string())))
 
 
-def score(docs: DataFrame, part_bytes: int = 24 << 20, hot_words: int = 256) -> DataFrame:
+def score(docs: DataFrame, part_bytes: int = 16 << 20, hot_words: int = 256) -> DataFrame:
     """Scores of all whole texts of ``docs`` (doc_id, text, held_out), by a model of those not held out.
 
     Tokens are the words (A-Z in lower case, cut at ASCII white space) and one end. n_known: tokens with a count in the

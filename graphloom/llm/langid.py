@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, lean, pieces, table
@@ -122,14 +123,22 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 6, rate
     return net
 
 
-def sample_windows(labelled: DataFrame, per_label: int, per_text: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """A bounded sample of windows: about ``per_label`` texts of each label by a hash of their id, and ``per_text``
-    windows from all over each. Only those windows come to the driver."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+def sample_windows(labelled: DataFrame, per_label: int, per_text: int, seed: int, max_labels: int = 1000) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A bounded sample of windows: of each label the ``per_label`` texts of the smallest hashes of id and text (repeated
+    rows are one), and ``per_text`` windows from all over each. Only those windows come to the driver. More than
+    ``max_labels`` labels are an error."""
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()
+    counts = {r["lang"]: r["n"] for r in found}
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    rates = labelled.sparkSession.createDataFrame([(k, int(min(1.0, per_label / n) * (1 << 30))) for k, n in counts.items()], "lang string, rate long")
-    chosen = labelled.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(1 << 30)) < F.col("rate"))
+    spare = 1 + 8 / math.sqrt(per_label)  # so that a label hardly ever has fewer rows below its rate than are wanted
+    rates = labelled.sparkSession.createDataFrame([(k, int(min(1.0, spare * per_label / n) * (1 << 30))) for k, n in counts.items()], "lang string, rate long")
+    hashed = labelled.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
+    low = hashed.join(F.broadcast(rates), "lang").filter(F.pmod("hash", F.lit(1 << 30)) < F.col("rate")).dropDuplicates(["lang", "hash"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
+    chosen = low.withColumn("nth", nth).filter(F.col("nth") <= per_label)
 
     def cut(batches):
         for batch in batches:
@@ -142,7 +151,7 @@ def sample_windows(labelled: DataFrame, per_label: int, per_text: int, seed: int
                 keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang[of[i]] for i in keep.tolist()], pa.string()), pa.array([x[i].tobytes() for i in keep.tolist()], pa.binary())], ["lang", "bytes"])
 
-    rows = chosen.select("lang", "doc_id", "text").mapInArrow(lean(cut), "lang string, bytes binary").limit(4 * per_label * per_text * len(counts)).collect()
+    rows = chosen.select("lang", "doc_id", "text").mapInArrow(lean(cut), "lang string, bytes binary").collect()
     labels = sorted(counts)
     rows.sort(key=lambda r: (r["lang"], bytes(r["bytes"])))
     x = np.frombuffer(b"".join(bytes(r["bytes"]) for r in rows), np.uint8).reshape(-1, WINDOW)
@@ -156,8 +165,8 @@ def sample_windows(labelled: DataFrame, per_label: int, per_text: int, seed: int
 def fit(docs: DataFrame, per_label: int = 1000, per_text: int = 4, seed: int = 11, **options) -> Network | None:
     """A network from the texts and non-null lang of ``docs`` (doc_id, text, lang); None if nothing is labelled.
 
-    The sample is bounded: about ``per_label`` texts of each label and ``per_text`` windows of each. At most the 1,000
-    most frequent labels are learnt.
+    The sample is bounded: ``per_label`` texts of each label at most, and ``per_text`` windows of each (``sample_windows``).
+    All labels are learnt; more than 1,000 are an error.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     x, y, labels = sample_windows(labelled, per_label, per_text, seed)

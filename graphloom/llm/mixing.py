@@ -66,28 +66,58 @@ def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = 3) -> l
     return out
 
 
-def _shard_plan(quotas: dict[int, int], cap: int):
-    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard", ignore_index=True)
-        pdf["quota"] = apportion(pdf["blocks"].to_numpy(float), quotas[int(key[0])], cap * pdf["blocks"].to_numpy())
-        return pdf[["sid", "shard", "blocks", "quota"]]
-
-    return plan
-
-
-def _select(seed: int, spans: bool):
+def shares(seats: int, words: int, sizes: np.ndarray, block: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, words) of each part of a whole that takes ``seats`` blocks, ``words`` words in all: blocks by highest
+    quotients of the parts' sizes; what blocks of ``block`` words lack or have too much, the first parts that can make
+    up. No part takes more than cap times its size."""
+    sizes = np.asarray(sizes, np.int64)
+    blocks = apportion(sizes, seats, cap * sizes // block)
+    own = blocks * block
+    over = words - int(own.sum())
+    room = cap * sizes - own if over > 0 else own
+    own = own + np.sign(over) * np.diff(np.minimum(np.cumsum(room), abs(over)), prepend=0)
+    return blocks, own
+
+
+def _deal(block: int, cap: int, name: str):
+    """The shares of the parts ``name`` of each whole."""
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(name, ignore_index=True)
+        seats, quota = shares(int(pdf["seats"][0]), int(pdf["quota"][0]), pdf["words"].to_numpy(), block, cap)
+        return pd.DataFrame({"sid": pdf["sid"], name: pdf[name], "seats": seats, "quota": quota})
+
+    return deal
+
+
+def chosen(words: int, quota: int, block: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, times): how often the runs of a text of ``words`` words are taken, ``quota`` words in all. Every block is
+    taken as often as all of them can be; a permutation says which are taken once more, the last of them in part."""
+    times, rest = divmod(quota, words)
+    edges = np.append(np.arange(0, words, block), words)
+    order = rng.permutation(len(edges) - 1)
+    upto = np.cumsum(np.diff(edges)[order])
+    n = int(np.searchsorted(upto, rest, "right"))
+    often = np.full(len(order), times, np.int64)
+    often[order[:n]] += 1
+    if left := rest - (int(upto[n - 1]) if n else 0):
+        i = int(order[n])
+        edges, often = np.insert(edges, i + 1, edges[i] + left), np.insert(often, i, times + 1)
+    return edges, often
+
+
+def _select(seed: int, block: int, spans: bool):
     def select(key: tuple, rows: pa.Table) -> pa.Table:
         sid, shard = (k.as_py() for k in key)
         rows = rows.sort_by([("oid", "ascending"), ("hash", "ascending")])
         size = rows["size"].to_numpy()
         ends = np.cumsum(size)
         starts, total = ends - size, int(ends[-1])
-        n, quota = int(rows["blocks"][0].as_py() or 0), int(rows["quota"][0].as_py() or 0)
+        quota = int(rows["quota"][0].as_py() or 0)
         taken, found = np.zeros(len(size), np.int64), [[]] * len(size)
-        if n and total:
-            edges = np.asarray([i * total // n for i in range(n + 1)], np.int64)
-            times = np.full(n, quota // n, np.int64)
-            times[np.random.default_rng([seed, sid, shard]).permutation(n)[: quota % n]] += 1
+        if quota and total:
+            edges, times = chosen(total, quota, block, np.random.default_rng([seed, sid, shard]))
+            n = len(times)
             sums = np.concatenate([[0], np.cumsum(times * np.diff(edges))])
 
             def upto(x):
@@ -111,15 +141,17 @@ def _select(seed: int, spans: bool):
     return select
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, block_words: int = 2048, min_blocks: int = 1024,
-        shard_words: int = 1 << 20, seed: int = 17, max_sources: int = 1_000_000, spans: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, block_words: int = 2048, shard_words: int = 1 << 20,
+        shards_a_group: int = 4096, seed: int = 17, max_sources: int = 1_000_000, spans: bool = False) -> DataFrame:
     """Say how many words of each document a mix of ``docs`` (doc_id, text, source) takes.
 
-    Sources, by code point with null last, weigh ``weights`` in turn. Each source is dealt into shards of about
-    ``shard_words`` words by the hash of doc_id and the text, so that a source with a third of all rows is as many
-    tasks as it needs; a shard's text in doc_id order is cut into equal blocks (``block_words``, less in small sources,
-    which get ``min_blocks``). Sainte-Laguë apportionment gives each source its number of blocks, then each shard;
-    a seeded permutation picks the shard's blocks. No block is taken more than ``cap`` times, so no document is.
+    Sources, by code point with null last, weigh ``weights`` in turn. Sainte-Laguë apportionment hands out blocks of
+    ``block_words`` words, the same in all sources, by the sources' targets; one block of a source is cut, or added in
+    part, so that it takes its target to the word (without that, a source of a few blocks would miss it widely). A
+    source's blocks are handed on by size to groups of shards and to their shards of about ``shard_words`` words, dealt
+    by the hash of doc_id and the text, so that a source with a third of all rows is as many tasks as it needs and no
+    task sees more than ``shards_a_group`` shards. A shard's text in doc_id order is cut into blocks, and a seeded
+    permutation picks them. No word is taken more than ``cap`` times, so no document is.
 
     Only one row for each source comes to the driver; more than ``max_sources`` sources are an error, not a cut.
     Null text has size 0; documents of size 0 are taken 0 times; repeated rows count as documents of their own; an empty
@@ -138,21 +170,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, blo
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     size = [int(r["words"] or 0) for r in sums]
     target = targets(size, [weights[i % len(weights)] for i in range(len(sums))], cap)
-    block = [max(1.0, min(float(block_words), w / min_blocks)) for w in size]
+    seats = apportion(target, round(sum(target) / block_words), [cap * w // block_words for w in size])
     known = spark.createDataFrame(
-        [(i, r["source"], size[i], target[i], block[i], max(1, math.ceil(size[i] / shard_words))) for i, r in enumerate(sums)],
-        "sid int, of string, source_size bigint, target double, block double, shards bigint",
+        [(i, r["source"], size[i], target[i], int(seats[i]), round(target[i]), max(1, math.ceil(size[i] / shard_words))) for i, r in enumerate(sums)],
+        "sid int, of string, source_size bigint, target double, seats bigint, quota bigint, shards bigint",
     )
-    placed = sized.join(known, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.expr("pmod(xxhash64(oid, hash), shards)"))
-    blocks = F.ceil(F.sum("size") / F.max("block")).cast("long").alias("blocks")
-    shards = settle(placed.groupBy("sid", "shard").agg(blocks), "mix-shards")
-    per_source = {r["sid"]: int(r["n"] or 0) for r in shards.groupBy("sid").agg(F.sum("blocks").alias("n")).collect()}
-    claims = [target[i] / size[i] * per_source.get(i, 0) if size[i] else 0.0 for i in range(len(sums))]
-    quotas = dict(enumerate(apportion(claims, round(sum(claims)), [cap * per_source.get(i, 0) for i in range(len(sums))]).tolist()))
-    plan = shards.groupBy("sid").applyInPandas(_shard_plan(quotas, cap), "sid int, shard bigint, blocks bigint, quota bigint")
-    dealt = placed.select(*(["row"] if spans else ["doc_id"]), "size", "oid", "hash", "sid", "shard").join(plan, ["sid", "shard"])
+    placed = sized.join(known.select("sid", "of", "shards"), F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.expr("pmod(xxhash64(oid, hash), shards)"))
+    shards = settle(placed.groupBy("sid", "shard").agg(F.sum("size").alias("words")).withColumn("part", F.expr(f"shard div {shards_a_group}")), "mix-shards")
+    parts = shards.groupBy("sid", "part").agg(F.sum("words").alias("words")).join(known.select("sid", "seats", "quota"), "sid")
+    dealt = parts.groupBy("sid").applyInPandas(_deal(block_words, cap, "part"), "sid int, part bigint, seats bigint, quota bigint")
+    plan = shards.join(dealt, ["sid", "part"]).groupBy("sid", "part").applyInPandas(_deal(block_words, cap, "shard"), "sid int, shard bigint, seats bigint, quota bigint")
+    rows = placed.select(*(["row"] if spans else ["doc_id"]), "size", "oid", "hash", "sid", "shard").join(plan.select("sid", "shard", "quota"), ["sid", "shard"])
     shape = f"row {sized.schema['row'].dataType.simpleString()}, size bigint, sid int, taken bigint, spans {_SPANS}" if spans else "doc_id bigint, size bigint, sid int, taken bigint"
-    taken = dealt.groupBy("sid", "shard").applyInArrow(_select(seed, spans), shape)
+    taken = rows.groupBy("sid", "shard").applyInArrow(_select(seed, block_words, spans), shape)
     return taken.join(known.select("sid", "source_size", "target"), "sid").drop("sid")
 
 

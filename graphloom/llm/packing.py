@@ -63,12 +63,17 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
     return window, offset, n
 
 
-def cut_pieces(docs: DataFrame, size: int, end: int, path: str) -> DataFrame:
+def padded_length(used: np.ndarray, size: int) -> np.ndarray:
+    """How long sequences are: ``size``, but those whose ids are a power of two in number are not padded."""
+    return np.where(used & (used - 1) == 0, used, size)
+
+
+def cut_pieces(docs: DataFrame, size: int, end: int, path: str, slice_bytes: int = 10 << 20) -> DataFrame:
     """Each document's ids and ``end``, cut into full windows and what is left, as digests (no ids move)."""
 
     def cut(batches):
         encoder = Encoder.of(path)
-        for part in gathered(batches, "text"):
+        for part in gathered(batches, "text", slice_bytes):
             ids, counts = with_end(*encoder.encode(part.column(1)), end)
             data, rows, at = memoryview(ids.astype("<u4").tobytes()), [], 0
             for doc, text_hash, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), counts.tolist()):
@@ -81,7 +86,7 @@ def cut_pieces(docs: DataFrame, size: int, end: int, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(cut), PIECES)
 
 
-def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None, shard_pieces: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None, shard_pieces: int = 2048, slice_bytes: int = 10 << 20) -> DataFrame:
     """Pack whole documents (doc_id, text) into sequences of at most ``size`` tokens.
 
     A document's ids with ``end`` behind them are cut into full windows and one shorter rest. Pieces are dealt by hash
@@ -90,24 +95,29 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
     Null text is empty (one piece, the end id); repeated rows are packed as often as they come; an empty table gives an
     empty result; other columns are ignored. sequence_id is shard * 2^32 + the window's number there; doc_id and
     text_hash say whose ids a piece holds (rows equal in both are equal, so any of them fills any of their places).
+    padded is how long the piece's sequence is when it is written: ``size``, but where its ids are a power of two in
+    number it ends with them. ``slice_bytes`` of text are encoded at a time.
     """
-    cut = settle(cut_pieces(docs, size, end, tokenizer or default_path()), "pack-pieces")
+    cut = settle(cut_pieces(docs, size, end, tokenizer or default_path(), slice_bytes), "pack-pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("text_hash", "ascending")])
-        window, offset, _ = best_fit(rows["length"].to_numpy(), size)
-        return rows.drop_columns("shard").append_column("sequence_id", pa.array((key[0].as_py() << 32) + window)).append_column("offset", pa.array(offset))
+        length = rows["length"].to_numpy()
+        window, offset, n = best_fit(length, size)
+        padded = padded_length(np.bincount(window, weights=length, minlength=n).astype(np.int64), size)[window]
+        return rows.drop_columns("shard").append_column("sequence_id", pa.array((key[0].as_py() << 32) + window)).append_column("offset", pa.array(offset)).append_column("padded", pa.array(padded))
 
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(place, PIECES + ", sequence_id bigint, offset bigint")
+    return dealt.groupBy("shard").applyInArrow(place, PIECES + ", sequence_id bigint, offset bigint, padded bigint")
 
 
 def sequences(docs: DataFrame, packed: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None) -> DataFrame:
     """The sequences themselves (sequence_id, ids) of ``docs`` and what ``pack`` says of them with the same options.
 
     Each text of a doc_id is encoded again once; its pieces go to all their places (rows may share doc_id or be equal;
-    doc_id and text may be null), and what stays free is 0. Pieces that are not those packed are an error.
+    doc_id and text may be null). Behind them sequences are filled with 0 up to ``size``, but those whose ids are a power
+    of two in number, which end there. Pieces that are not those packed are an error.
     """
     path = tokenizer or default_path()
 
@@ -129,11 +139,11 @@ def sequences(docs: DataFrame, packed: DataFrame, size: int = 2048, end: int = 1
     pieces = once.mapInArrow(lean(spread), "of bigint, of_text bigint, at bigint, crc bigint, ids array<int>")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")) & (F.col("start") == F.col("at"))
     alike = F.when(F.col("ids_crc32") == F.col("crc"), F.col("ids")).otherwise(F.raise_error(F.lit("a packed piece is not one of these documents")))
-    spread_out = packed.join(pieces, same, "left").select("sequence_id", "offset", alike.alias("ids"))
-    whole = spread_out.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return whole.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(0), F.lit(size) - F.size("ids"))))
+    spread_out = packed.join(pieces, same, "left").select("sequence_id", "offset", "padded", alike.alias("ids"))
+    whole = spread_out.groupBy("sequence_id", "padded").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids"))
+    return whole.select("sequence_id", F.concat("ids", F.array_repeat(F.lit(0), (F.col("padded") - F.size("ids")).cast("int"))).alias("ids"))
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each piece of all documents."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), slice_bytes=20 << 20)

@@ -170,14 +170,18 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, depth
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 7, **options) -> Ensemble:
-    """An ensemble from labelled texts: docs (doc_id, text), labels (doc_id, quality). At most about ``sample`` rows, by a
-    hash of doc_id, are learnt from; only their statistics come to the driver. Rows with a null id or label are left out."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """An ensemble from labelled texts: docs (doc_id, text), labels (doc_id, quality). The ``sample`` documents of the
+    smallest hashes of doc_id are learnt from, a bounded table that is sent to all tasks; only their statistics come to
+    the driver. Of several labels or texts of one doc_id the smallest counts. Rows with a null id or label are left out."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("quality"))
     n = known.count()
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
+    place = F.pmod(F.xxhash64(F.lit(seed), "of"), F.lit(1 << 30))
+    low = known.filter(place < int(min(1.0, (1 + 8 / math.sqrt(sample)) * sample / max(n, 1)) * (1 << 30)))
+    chosen = low.groupBy("of").agg(F.min("quality").alias("quality")).orderBy(place, "of").limit(sample)
     names = list(statistics(F.lit("")))
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()]).alias("s"))
-    rows = sorted(got.select("doc_id", "quality", "s.*").limit(2 * sample).collect(), key=tuple)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    got = got.select("doc_id", "quality", F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()]).alias("s")).groupBy("doc_id", "quality").agg(F.min("s").alias("s"))
+    rows = sorted(got.select("doc_id", "quality", "s.*").collect(), key=tuple)
     x = np.asarray([[r[k] for k in names] for r in rows], float).reshape(-1, len(names))
     return learn(x, np.asarray([r["quality"] for r in rows], float), names, **options)
 

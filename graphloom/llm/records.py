@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import struct
 import zlib
 
@@ -11,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, lean, read_whole, scratch, table, write_whole
+from .common import blocks, estimated_bytes, filesystem, gathered, lean, scratch, table, writing
 from .tokens import Encoder, default_path, with_end
 
 _HEAD, _BODY = struct.Struct("<QI"), struct.Struct("<qB")
@@ -29,19 +31,42 @@ def frame(payload: bytes) -> bytes:
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
+class Truncated(ValueError):
+    """A record that goes on behind the data."""
+
+
 def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
-    """The payload at ``at`` and where the next record starts. A damaged record raises ValueError."""
+    """The payload at ``at`` and where the next record starts. A damaged record raises ValueError, one that is cut off
+    the kind Truncated."""
     if at + _HEAD.size > len(data):
-        raise ValueError(f"record at {at} is cut off")
+        raise Truncated(f"record at {at} is cut off")
     length, check = _HEAD.unpack_from(data, at)
     if masked(data[at : at + 8]) != check:
         raise ValueError(f"record at {at}: wrong length checksum")
+    if at + 16 + length > len(data):
+        raise Truncated(f"record at {at} is cut off")
     payload = data[at + 12 : at + 12 + length]
-    if len(payload) < length or at + 16 + length > len(data) or masked(payload) != struct.unpack_from("<I", data, at + 12 + length)[0]:
+    if masked(payload) != struct.unpack_from("<I", data, at + 12 + length)[0]:
         raise ValueError(f"record at {at}: wrong checksum")
     return payload, at + 16 + length
 
 
+def records_of(parts):
+    """The payloads in a stream of bytes; no more of it than one block and one record is held."""
+    held = b""
+    for part in parts:
+        data, at = memoryview(held + part if held else part), 0
+        while at < len(data):
+            try:
+                payload, at = unframe(data, at)
+            except Truncated:
+                break
+            yield payload
+        held = bytes(data[at:])
+    if held:
+        raise Truncated("the last record is cut off")
+
+
 def pack_ids(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     """A record's payload: document, bytes an id (high bit: the document is null), ids."""
     return _BODY.pack(doc_id or 0, width | (0x80 if doc_id is None else 0)) + ids.astype(f"<u{width}").tobytes()
@@ -52,45 +77,59 @@ def unpack_ids(payload) -> tuple[int | None, np.ndarray]:
     return None if width & 0x80 else doc_id, np.frombuffer(payload, f"<u{width & 0x7F}", offset=_BODY.size)
 
 
-def write_records(docs: DataFrame, folder: str, end: int = 2, tokenizer: str | None = None) -> list[dict]:
+def write_records(docs: DataFrame, folder: str, end: int = 2, tokenizer: str | None = None, part_bytes: int = 256 << 20, slice_bytes: int = 20 << 20) -> list[dict]:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order to files part-N.rec with part-N.idx beside.
 
-    Rows are range-partitioned by doc_id, then the hash of the text, and sorted within; only then encoded, so that no
-    ids move. A file is named by its partition and appears by one rename: a task that runs again writes the same file.
+    Rows are range-partitioned by doc_id, then the hash of the text, into files of about ``part_bytes`` by the planner's
+    estimate (at least as many as there are shuffle partitions), and sorted within; only then encoded, ``slice_bytes`` of
+    text at a time, and framed straight into the file, so that no ids move or pile up. A file is named by its partition
+    and appears by one rename: a task that runs again writes the same file.
     The index holds each record's byte offset and, last, the file's length, as unsigned 64-bit integers.
-    Null doc_id comes first; null text is empty (the end id alone); equal doc_ids follow the text's order; an empty
-    table writes no file. Returns the manifest: one dict for each file with its path, records and ids.
+    Null doc_id comes first; null text is empty (the end id alone); equal doc_ids follow the text's hash, null first; an
+    empty table writes no file. Returns the manifest: one dict for each file with its path, records and ids.
     """
     path = tokenizer or default_path()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-estimated_bytes(docs) // part_bytes)))
 
     def write(batches):
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
-        out, offsets, n_ids = bytearray(), [0], 0
-        for piece in gathered(batches, "text"):
-            ids, counts = with_end(*encoder.encode(piece.column(1)), end)
-            at = 0
-            for doc, n in zip(piece.column(0).to_pylist(), counts.tolist()):
-                out += frame(pack_ids(doc, ids[at : at + n], encoder.width))
-                offsets.append(len(out))
-                at += n
-            n_ids += at
-        if len(offsets) > 1:
-            uri = f"{folder}/part-{part:06d}"
-            write_whole(f"{uri}.rec", out)
-            write_whole(f"{uri}.idx", np.asarray(offsets, "<u8").tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [uri], "records": pa.array([len(offsets) - 1], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
-
-    order = ["doc_id", F.xxhash64("text")]
-    sorted_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order).sortWithinPartitions("doc_id", "text")
+        uri, n_records, n_ids, at = f"{folder}/part-{part:06d}", 0, 0, 0
+        with contextlib.ExitStack() as files:
+            out = None
+            for piece in gathered(batches, "text", slice_bytes):
+                if out is None:  # a partition without rows has no file
+                    out, index = files.enter_context(writing(f"{uri}.idx", f"{uri}.rec"))[::-1]
+                    index.write(struct.pack("<Q", 0))
+                ids, counts = with_end(*encoder.encode(piece.column(1)), end)
+                framed, offsets, first = bytearray(), [], 0
+                for doc, n in zip(piece.column(0).to_pylist(), counts.tolist()):
+                    framed += frame(pack_ids(doc, ids[first : first + n], encoder.width))
+                    offsets.append(at + len(framed))
+                    first += n
+                out.write(framed)
+                index.write(np.asarray(offsets, "<u8").tobytes())
+                at, n_records, n_ids = offsets[-1], n_records + len(offsets), n_ids + first
+        if n_records:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [uri], "records": pa.array([n_records], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    order = ["doc_id", F.when(F.col("text").isNotNull(), F.col("h"))]
+    sorted_docs = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = sorted_docs.mapInArrow(lean(write), "part bigint, path string, records bigint, ids bigint").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]  # one row a file
 
 
 def read_record(uri: str, numbers) -> list[tuple[int | None, np.ndarray]]:
-    """Records of one file by their numbers, in any order, by way of the index."""
-    offsets, data = np.frombuffer(read_whole(f"{uri}.idx"), "<u8"), memoryview(read_whole(f"{uri}.rec"))
-    return [unpack_ids(unframe(data, int(offsets[i]))[0]) for i in numbers]
+    """Records of one file by their numbers, in any order, by way of the index: only their bytes are read."""
+    (where, path), (_, index) = filesystem(f"{uri}.rec"), filesystem(f"{uri}.idx")
+    out = []
+    with where.open_input_file(path) as f, where.open_input_file(index) as i:
+        for number in numbers:
+            i.seek(8 * int(number))
+            start, stop = struct.unpack("<QQ", i.read(16))
+            f.seek(start)
+            out.append(unpack_ids(unframe(memoryview(f.read(stop - start)), 0)[0]))
+    return out
 
 
 def read_records(spark: SparkSession, manifest: list[dict]) -> DataFrame:
@@ -106,13 +145,14 @@ def read_records(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     def read(batches):
         for batch in batches:
             for uri, start in zip(*(c.to_pylist() for c in batch.columns)):
-                data, at, rows = memoryview(read_whole(f"{uri}.rec")), 0, []
-                while at < len(data):
-                    payload, at = unframe(data, at)
-                    doc, ids = unpack_ids(payload)
-                    rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                payloads = records_of(blocks(f"{uri}.rec"))
+                while some := list(itertools.islice(payloads, 2000)):
+                    rows = []
+                    for payload in some:
+                        doc, ids = unpack_ids(payload)
+                        rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        start += len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.createDataFrame(spark.sparkContext.parallelize(files, len(files)), "path string, start bigint").mapInArrow(lean(read), shape)
 

@@ -18,95 +18,64 @@ SENTENCE = re.compile(rb"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _WIDE_STOP = re.compile("\u3002|\uff01|\uff0e|\uff1f|\uff61".encode())
 _ANY_STOP = rb"(?:[.!?\n]|" + _WIDE_STOP.pattern + rb")"
 WIDE_SENTENCE = re.compile(rb"(?:(?!%b).)*%b+|(?:(?!%b).)+" % ((_ANY_STOP,) * 3), re.DOTALL)
-#: Characters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, bopomofo, Han.
-_UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3[\x81-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xb3][\x80-\xbf]{2}")
 _SAYS = re.compile(rb"[^ \t-\r.!?]")
-#: Lengths of spans in sentences, each with the words that such a span has at least.
-SPANS = ((3, 10), (2, 30), (1, 50))
+#: Sentences of a span.
+SPAN = 3
 
 
-def sentences(text: bytes, short: bool = False) -> tuple[list[bytes], list[int]]:
+def sentences(text: bytes) -> tuple[list[bytes], list[int]]:
     """All pieces, and which of them say something (the sentences)."""
-    found = (WIDE_SENTENCE if short and _WIDE_STOP.search(text) else SENTENCE).findall(text)
+    found = (WIDE_SENTENCE if _WIDE_STOP.search(text) else SENTENCE).findall(text)
     return found, [i for i, s in enumerate(found) if _SAYS.search(s)]
 
 
-def short_runs(counts: list[int], over: int = SPANS[0][0], least: int = SPANS[0][1]) -> set[tuple[int, int]]:
-    """(place, length) of the shortest runs of more than ``over`` sentences from each sentence, and up to each, that
-    have ``least`` words. Ends of a repeat too short to start a run of their own are in a run up to them."""
-    n, runs = len(counts), set()
-    for i in range(n - over):
-        words, j = sum(counts[i : i + over]), i + over
-        if words < least:
-            while j < n and words < least:
-                words, j = words + counts[j], j + 1
-            if words >= least:
-                runs.add((i, j - i))
-    for j in range(over + 1, n + 1):
-        words, i = sum(counts[j - over : j]), j - over
-        if words < least:
-            while i and words < least:
-                words, i = words + counts[i - 1], i - 1
-            if words >= least:
-                runs.add((i, j - i))
-    return runs
-
-
-def _span_rows(docs: DataFrame, short: bool) -> DataFrame:
-    """did, th, pos (of the first sentence), len (sentences) and h1, h2 (128 bits) of each span."""
+def _span_rows(docs: DataFrame, n: int) -> DataFrame:
+    """did, th, pos (of the first sentence) and h1, h2 (128 bits) of each run of n sentences."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                did, th, pos, size, digest = [], [], [], [], []
+                did, th, pos, digest = [], [], [], []
                 for d, t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
-                    text = text or b""
-                    found, says = sentences(text, short)
-                    words = [found[i].lower().split() for i in says]
-                    counts = [len(w) for w in words]
-                    if short and _UNSPACED.search(text):
-                        counts = [sum(max(1, len(_UNSPACED.findall(x))) for x in w) for w in words]
-                    hashed = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-                    runs = [(i, n) for n, least in SPANS for i in range(len(hashed) - n + 1) if sum(counts[i : i + n]) >= least]
-                    if short:
-                        runs += short_runs(counts)
-                    for i, n in runs:
-                        did.append(d)
-                        th.append(t)
-                        pos.append(i)
-                        size.append(n)
-                        digest.append(xxhash.xxh3_128_digest(b"".join(hashed[i : i + n]) + bytes([n])))
+                    found, says = sentences(text or b"")
+                    hashed = [xxhash.xxh3_128_digest(b" ".join(found[i].lower().split())) for i in says]
+                    own = [xxhash.xxh3_128_digest(b"".join(hashed[i : i + n])) for i in range(len(hashed) - n + 1)]
+                    did += [d] * len(own)
+                    th += [t] * len(own)
+                    pos += range(len(own))
+                    digest += own
                 h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["did", "th", "pos", "len", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["did", "th", "pos", "h1", "h2"])
 
-    return docs.select("did", "th", "text").mapInArrow(lean(run), "did bigint, th bigint, pos int, len int, h1 bigint, h2 bigint")
+    return docs.select("did", "th", "text").mapInArrow(lean(run), "did bigint, th bigint, pos int, h1 bigint, h2 bigint")
 
 
-def dedup(docs: DataFrame, short: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Remove from each text (doc_id, text) the sentences in any repeat of a span but its first.
 
-    A span is SPANS sentences in a row or, with ``short``, a run of more sentences that just reaches the words of the
-    longest SPANS (``short_runs``); each character of a script without spaces is a word then, and full stops of Chinese
-    and Japanese end sentences too. Every sentence of a repeated passage of 3 whole sentences and 10 words is so in a
-    span, however short they are. Spans are compared in lower case (A-Z) with white space made one space. The first of equal
-    spans is the one of the smallest doc_id (null before all), then place; repeats may lie in other documents or further
-    on in the same one. Adds n_sentences and n_removed and replaces text by what is left (and n_chars, where it is a
-    column, by its length); all other columns stay. Null text stays null, without sentences; rows equal in doc_id and
-    text count as one document, so all of them keep the same; an empty table gives an empty one.
+    A span is any ``span`` sentences in a row (two at least), whatever their words; a sentence ends behind full stops,
+    exclamation and question marks (those of Chinese and Japanese too) and line breaks, and has something else. Spans
+    are compared in lower case (A-Z) with white space made one space. The first of equal spans is the one of the smallest
+    doc_id (null before all), then place; repeats may lie in other documents or further on in the same one. Adds
+    n_sentences and n_removed, which replace columns of these names, and replaces text by what is left (and n_chars,
+    where it is a column, by its length); all other columns stay. Null text stays null, without sentences; rows equal in
+    doc_id and text count as one document, so all of them keep the same; an empty table gives an empty one.
 
     Spans meet by their hash alone: counts are summed before the shuffle, and only spans that do repeat are joined to
     their places, in a join that splits large keys.
     """
+    if span < 2:
+        raise ValueError("a span has two sentences at least")
     spark = docs.sparkSession
     taken = {c.lower() for c in docs.columns}
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"), "text")
-    spans = _span_rows(keyed, short)
+    spans = _span_rows(keyed, span)
     place = F.struct("did", "th", "pos")
     repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
     repeated = settle(repeated, "spans-repeated")
     forget(spark)
-    later = _span_rows(keyed, short).join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select("did", "th", "pos", "len")
-    hits = settle(later.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("pos", "len")).alias("hits")), "spans-hits")
+    later = _span_rows(keyed, span).join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select("did", "th", "pos")
+    hits = settle(later.distinct().groupBy("did", "th").agg(F.collect_list("pos").alias("hits")), "spans-hits")
     forget(spark)
     joined = keyed.select("row", "did", "th").join(hits.withColumnsRenamed({"did": "hit_did", "th": "hit_th"}), (F.col("did") == F.col("hit_did")) & (F.col("th") == F.col("hit_th")), "left").select("row", "hits")
     row_type = joined.schema["row"].dataType
@@ -116,8 +85,8 @@ def dedup(docs: DataFrame, short: bool = True) -> DataFrame:
             texts = batch.column(0).field("text").cast(pa.binary()) if batch.num_rows else []
             kept, removed, counts = [], [], []
             for text, hit in zip(texts, batch.column(1).to_pylist()):
-                found, says = sentences(text.as_py() or b"", short)
-                gone = {says[i] for h in hit or () for i in range(h["pos"], h["pos"] + h["len"])}
+                found, says = sentences(text.as_py() or b"")
+                gone = {says[i + j] for i in hit or () for j in range(span)}
                 kept.append(None if not text.is_valid else b"".join(s for i, s in enumerate(found) if i not in gone))
                 removed.append(len(gone))
                 counts.append(len(says))
@@ -130,30 +99,24 @@ def dedup(docs: DataFrame, short: bool = True) -> DataFrame:
 
 
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents by the rule of OP7_SQL, which has no spans of more than 3 sentences."""
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=False)
+    """What is left of all documents."""
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-OP7_SQL = r"""
+_STOPS = ".!?\\n\u3002\uff01\uff0e\uff1f\uff61"
+OP7_SQL = rf"""
 WITH pieces AS (
   SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS ord
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS p FROM documents)
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^{_STOPS}]*[{_STOPS}]+|[^{_STOPS}]+') AS p FROM documents)
 ), says AS (
   SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS pos,
-    trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g')) AS said,
-    len(regexp_extract_all(piece, '[^ \t-\r]+')) AS words
+    trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g')) AS said
   FROM pieces WHERE regexp_matches(piece, '[^ \t-\r.!?]')
-), runs AS (
-  SELECT doc_id, pos, 1 AS len, said AS span, words FROM says
-  UNION ALL SELECT a.doc_id, a.pos, 2, a.said || chr(10) || b.said, a.words + b.words
-  FROM says a JOIN says b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
-  UNION ALL SELECT a.doc_id, a.pos, 3, a.said || chr(10) || b.said || chr(10) || c.said, a.words + b.words + c.words
-  FROM says a JOIN says b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN says c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2
 ), spans AS (
-  SELECT *, row_number() OVER (PARTITION BY len, span ORDER BY doc_id, pos) AS nth
-  FROM runs WHERE words >= CASE len WHEN 3 THEN 10 WHEN 2 THEN 30 ELSE 50 END
+  SELECT a.doc_id, a.pos, row_number() OVER (PARTITION BY a.said, b.said, c.said ORDER BY a.doc_id, a.pos) AS nth
+  FROM says a JOIN says b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN says c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2
 ), gone AS (
-  SELECT DISTINCT s.doc_id, s.ord FROM spans r JOIN says s ON s.doc_id = r.doc_id AND s.pos >= r.pos AND s.pos < r.pos + r.len WHERE nth > 1
+  SELECT DISTINCT s.doc_id, s.ord FROM spans r JOIN says s ON s.doc_id = r.doc_id AND s.pos >= r.pos AND s.pos < r.pos + {SPAN} WHERE nth > 1
 ), kept AS (
   SELECT p.doc_id, string_agg(p.piece, '' ORDER BY p.ord) AS text FROM pieces p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.ord = g.ord GROUP BY 1
 )

@@ -88,20 +88,61 @@ def test_targets():
     assert mixing.targets([10, 1000, 0], [5, 2, 1]) == pytest.approx([30, 980, 0])
 
 
-@pytest.mark.parametrize("table", ["docs", "odd"])
-def test_mix(request, table):
+def brute_mix(docs, block, shard_words, weights=(5, 2, 1), cap=3, seed=17):
+    """docs: (doc_id, text, source, hash of text, shard number modulo n). One word at a time."""
+    sources = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(count(d[1]) for d in docs if d[2] == s) for s in sources]
+    target = mixing.targets(sizes, [weights[i % 3] for i in range(len(sources))], cap)
+
+    def highest(claims, seats, caps):
+        given = [0] * len(claims)
+        for _ in range(seats):
+            open_ = [i for i, c in enumerate(claims) if c > 0 and given[i] < caps[i]]
+            if open_:
+                given[max(open_, key=lambda i: (Fraction(claims[i]) / (2 * given[i] + 1), -i))] += 1
+        return given
+
+    seats = highest(target, round(sum(target) / block), [cap * n // block for n in sizes])
+    out = []
+    for i, s in enumerate(sources):
+        n_shards = max(1, math.ceil(sizes[i] / shard_words))
+        shards = [sorted((d for d in docs if d[2] == s and d[4] % n_shards == k), key=lambda d: (d[0] is not None, d[0] or 0, d[3])) for k in range(n_shards)]
+        there = [k for k in range(n_shards) if shards[k]]
+        words = {k: sum(count(d[1]) for d in shards[k]) for k in there}
+        quota = dict(zip(there, (block * n for n in highest([words[k] for k in there], seats[i], [cap * words[k] // block for k in there]))))
+        for k in there:
+            over = round(target[i]) - sum(quota.values())
+            quota[k] += min(over, cap * words[k] - quota[k]) if over > 0 else -min(-over, quota[k])
+        for k in there:
+            often = [quota[k] // words[k] if words[k] else 0] * words[k]
+            left = quota[k] % words[k] if words[k] else 0
+            for b in np.random.default_rng([seed, i, k]).permutation(-(-words[k] // block)) if left else ():
+                for w in range(b * block, min((b + 1) * block, words[k])):
+                    if left:
+                        often[w], left = often[w] + 1, left - 1
+            at = 0
+            for d in shards[k]:
+                n = count(d[1])
+                out.append((d[0], n, sizes[i], target[i], sum(often[at : at + n])))
+                at += n
+    return out
+
+
+@pytest.mark.parametrize("table, block, shard_words", [("docs", 2048, 1 << 20), ("docs", 100, 3000), ("odd", 7, 11)])
+def test_mix(request, table, block, shard_words):
     df = request.getfixturevalue(table)
-    rows = mixing.mix(df).collect()
-    assert len(rows) == df.count() and sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(df).collect()), key=str)
-    assert sum(r["size"] for r in rows) == sum(count(r["text"]) for r in df.collect())
-    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
-    source = {(r["doc_id"], count(r["text"])): r["source"] for r in df.collect()}
-    taken, target = Counter(), {}
-    for r in rows:
-        s = source[r["doc_id"], r["size"]]
-        taken[s] += r["taken"]
-        target[s] = r["target"]
-    assert all(abs(taken[s] - t) <= max(3, 0.01 * t) for s, t in target.items())
+    mixed = mixing.mix(df, block_words=block, shard_words=shard_words, shards_a_group=1 << 20)
+    rows = sorted(map(tuple, mixed.select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
+    given = [tuple(r) for r in df.select("doc_id", "text", "source", F.xxhash64("text"), F.xxhash64("doc_id", F.xxhash64("text"))).collect()]
+    assert rows == sorted(brute_mix(given, block, shard_words), key=str)
+    grouped = mixing.mix(df, block_words=block, shard_words=shard_words, shards_a_group=3).collect()
+    for source in {r[2] for r in given}:
+        own = [r for r in grouped if r["source_size"] == sum(count(g[1]) for g in given if g[2] == source)]
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+    by_target = {}
+    for r in grouped:
+        by_target[r["source_size"], r["target"]] = by_target.get((r["source_size"], r["target"]), 0) + r["taken"]
+    assert all(taken % round(t) == 0 if round(t) else not taken for (_, t), taken in by_target.items())
 
 
 def test_mixed_texts(docs, odd, none):
@@ -167,10 +208,23 @@ def test_sequences(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 300))) for i in range(6)], "doc_id bigint, text string")
     packed = packing.pack(df)
     got = packing.sequences(df, packed).collect()
-    assert {len(r["ids"]) for r in got} == {2048}
+    assert {len(r["ids"]) for r in got} <= {2048, *(1 << i for i in range(11))} and len(got[0]["ids"])
+    assert {r["padded"] for r in packed.collect()} == {len(r["ids"]) for r in got}
     assert sum(i != 0 for r in got for i in r["ids"]) == sum(r["length"] for r in packed.collect())
 
 
+def test_sequences_are_padded_but_at_powers_of_two(spark):
+    encoder = tokens.Encoder.of(tokens.default_path())
+    length = lambda text: len(encoder.tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    texts = [" ".join(["a"] * n) for n in range(1, 40)]
+    for text in texts:
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string") if length(text) in (8, 9, 16, 32) else None
+        if df is not None:
+            (row,) = packing.sequences(df, packing.pack(df)).collect()
+            assert len(row["ids"]) == (length(text) if length(text) != 9 else 2048)
+    assert packing.padded_length(np.asarray([1, 2, 3, 1024, 1025, 2048]), 2048).tolist() == [1, 2, 2048, 1024, 2048, 2048]
+
+
 def test_sequences_of_rows_that_share_doc_ids(docs, odd):
     encoder = tokens.Encoder.of(tokens.default_path())
     mixed = mixing.mixed_texts(docs).select("doc_id", "text")
@@ -184,7 +238,7 @@ def test_sequences_of_rows_that_share_doc_ids(docs, odd):
             want.update((r["doc_id"], i, tuple(ids[i : i + 2048])) for i in range(0, len(ids), 2048))
         packed = packing.pack(df)
         got = {r["sequence_id"]: r["ids"] for r in packing.sequences(df, packed).collect()}
-        assert all(len(ids) == 2048 for ids in got.values())
+        assert all(len(ids) == 2048 or len(ids) & (len(ids) - 1) == 0 for ids in got.values())
         found, used = Counter(), Counter()
         for r in packed.collect():
             found[r["doc_id"], r["start"], tuple(got[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]])] += 1
@@ -204,10 +258,20 @@ def test_records(spark, request, table):
         start += len(ids)
     files = records.write_records(df, scratch(spark, "test-records"))
     assert sorted(map(tuple, records.read_records(spark, files).collect()), key=lambda r: r[1]) == expected
+    assert records.read_records(spark, records.write_records(df.limit(0), scratch(spark, "test-records"))).count() == 0
     last = records.read_record(files[-1]["path"], [files[-1]["records"] - 1])[0]
     assert last[0] == expected[-1][0] and len(last[1]) == expected[-1][2]
 
 
+def test_records_in_a_stream():
+    payloads = [bytes([i]) * n for i, n in enumerate([0, 1, 50, 3, 1000])]
+    data = b"".join(map(records.frame, payloads))
+    for size in (1, 7, 64, 5000):
+        assert [bytes(p) for p in records.records_of(data[i : i + size] for i in range(0, len(data), size))] == payloads
+    with pytest.raises(records.Truncated):
+        list(records.records_of([data[:-1]]))
+
+
 def test_damage_is_seen(spark):
     uri = scratch(spark, "test-damage") + "/x"
     data = bytearray(records.frame(b"some payload"))
@@ -226,40 +290,40 @@ def test_spans(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
     got = {r["doc_id"]: r for r in spans.dedup(df).collect()}
     assert got[1]["text"] == rows[0][1] and got[3]["text"] == rows[2][1] and got[0]["text"] is None
-    assert got[2]["text"] == "Beta opens.Beta closes." or got[2]["text"].split() == ["Beta", "opens.", "Beta", "closes."]
+    assert got[2]["text"] == "Beta opens.Beta closes."
     assert got[2]["n_removed"] == 3 and got[2]["n_chars"] == len(got[2]["text"])
+    assert {r["doc_id"]: r["n_removed"] for r in spans.dedup(df, span=4).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    with pytest.raises(ValueError):
+        spans.dedup(df, span=1)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3])
-def test_spans_of_short_sentences(spark, n):
+@pytest.mark.parametrize("n", [1, 2, 3, 30])
+def test_spans_of_sentences_of_any_length(spark, n):
     for end in (". ", "\n"):
-        passage = "".join(" ".join(f"p{i}x{j}" for j in range(n)) + end for i in range(-(-54 // n)))
+        k = max(3, -(-54 // n))
+        passage = "".join(" ".join(f"p{i}x{j}" for j in range(n)) + end for i in range(k))
         rows = [(1, f"Alpha opens this text.{end}{passage}Alpha closes it."), (2, f"Beta begins here.{end}{passage.upper()}Beta ends there.")]
         got = {r["doc_id"]: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
         assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
-        assert got[2]["text"] == f"Beta begins here.{end}Beta ends there." and got[2]["n_removed"] == -(-54 // n)
+        assert got[2]["text"] == f"Beta begins here.{end}Beta ends there." and got[2]["n_removed"] == k
 
 
-def test_spans_without_spaces(spark):
+def test_spans_within_a_text_and_without_spaces(spark):
     passage = "春天来了。花都开了！鸟儿在唱歌。我们去山上看花吧？"
-    rows = [(1, f"第一篇的开头。{passage}第一篇的结尾。"), (2, f"另一篇由此开始。{passage}另一篇到此为止。"), (3, "ภาษาไทยเขียนโดยไม่เว้นวรรคระหว่างคำจึงนับทีละตัวอักษรแทนคำทั้งบรรทัด\nหนึ่ง"), (4, "ภาษาไทยเขียนโดยไม่เว้นวรรคระหว่างคำจึงนับทีละตัวอักษรแทนคำทั้งบรรทัด\nสอง")]
+    rows = [(1, f"第一篇的开头。{passage}第一篇的结尾。"), (2, f"另一篇由此开始。{passage}另一篇到此为止。"), (3, "A b.\nC d.\nE f.\nA b.\nC d.\nE f.\n")]
     got = {r["doc_id"]: r["text"] for r in spans.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "另一篇由此开始。另一篇到此为止。", 3: rows[2][1], 4: "สอง"}
+    assert got == {1: rows[0][1], 2: "另一篇由此开始。另一篇到此为止。", 3: "A b.\nC d.\nE f.\n"}
 
 
-def test_short_runs_cover_each_repeat():
-    rng = random.Random(6)
-    for _ in range(300):
-        inner = [rng.choice([1, 1, 1, 2, 3, 9, 12]) for _ in range(rng.randint(3, 14))]
-        runs = set()
-        for _ in range(2):  # runs inside a passage do not hang on what is around it
-            before, after = ([rng.randint(1, 12) for _ in range(rng.randint(0, 5))] for _ in range(2))
-            counts = [*before, *inner, *after]
-            all_runs = spans.short_runs(counts) | {(i, 3) for i in range(len(counts) - 2) if sum(counts[i : i + 3]) >= 10}
-            own = {(i - len(before), n) for i, n in all_runs if i >= len(before) and i + n <= len(before) + len(inner)}
-            runs = runs & own if runs else own
-        covered = {k for i, n in runs for k in range(i, i + n)}
-        assert covered == (set(range(len(inner))) if sum(inner) >= 10 else set())
+def test_media_against_plain_means(docs):
+    """The stored bytes' digest, and the feature's numbers from the payload itself: byte b is the level of a block."""
+    import hashlib
+
+    stored = media.store(docs.limit(40))
+    kept = {r["doc_id"]: bytes(r["media"]) for r in stored.select("doc_id", "media").collect()}
+    for r in media.read_back(stored).collect():
+        assert r["media_bytes"] == len(kept[r["doc_id"]]) and r["media_sha256"] == hashlib.sha256(kept[r["doc_id"]]).hexdigest()
+        assert kept[r["doc_id"]][:4] == b"RIFF" and struct.unpack("<I", kept[r["doc_id"]][4:8])[0] == len(kept[r["doc_id"]]) - 8
 
 
 def test_media_round_trip(spark, docs, odd):
@@ -351,7 +415,7 @@ def test_katz(request, table, hot_words):
     for i, (held, n, known, total, base, score) in want.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-5, abs=1e-6)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
     assert sum(map(uni, single)) + uni("\0") == pytest.approx(1)
     for h in list(after)[:20]:
         assert sum(prob(h, w) for w in single) + prob(h, "\0") == pytest.approx(1)
@@ -460,6 +524,31 @@ def test_language(spark, odd, none):
     assert langid.fit(none) is None and langid.identify(none, net).count() == 0 and langid.identify(odd, None).filter("lang_pred != 'und'").count() == 0
 
 
+def test_network_against_a_plain_pass():
+    """Responses, softmax and the gradient, filter by filter and byte by byte."""
+    rng = np.random.default_rng(1)
+    net = langid.Network.fresh(["a", "b", "c"], 4)
+    x = rng.integers(0, 256, (3, 20)).astype(np.uint8)
+    h, _ = net.responses(x)
+    for i in range(len(x)):
+        plain = []
+        for k, w in enumerate(langid.WIDTHS):
+            for f in range(langid.FILTERS):
+                plain.append(max(0.0, max(sum(float(net.kernels[k][j, x[i, p + j], f]) for j in range(w)) for p in range(20 - w + 1)) + float(net.bias[k][f])))
+        assert np.allclose(plain, h[i], atol=1e-5)
+        z = [sum(plain[f] * float(net.out[f, c]) for f in range(len(plain))) + float(net.out_bias[c]) for c in range(3)]
+        assert np.allclose(net.log_softmax(h)[i], [v - math.log(sum(map(math.exp, z))) for v in z], atol=1e-5)
+
+
+def test_language_sample_is_bounded_and_reruns_agree(spark):
+    rows = [(i % 7, f"text {i % 7} in some language", "xy"[i % 2]) for i in range(400)] + [(9, "the same text", "x")] * 300
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = [langid.sample_windows(df.repartition(n), 5, 4, 1) for n in (2, 7)]
+    assert got[0][2] == ["x", "y"] and np.array_equal(got[0][0], got[1][0]) and np.array_equal(got[0][1], got[1][1]) and max(np.bincount(got[0][1])) <= 5
+    with pytest.raises(ValueError):
+        langid.sample_windows(df, 5, 4, 1, max_labels=1)
+
+
 def test_paired_kernels_equal_single_ones():
     net = langid.Network.fresh(["a", "b"], 1)
     x = np.random.default_rng(0).integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
@@ -477,6 +566,31 @@ def test_quality(spark, odd, none):
     assert quality.score(none, quality.fit(none, labels)).count() == 0
 
 
+def test_tree_and_lasso_against_plain_ones():
+    """The best first cut of a tree by trying all; the lasso's optimality conditions."""
+    rng = np.random.default_rng(2)
+    x, g = rng.normal(size=(200, 3)), rng.normal(size=200)
+    g += (x[:, 1] > 0.4) * 2
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 20)[1:-1])) for j in range(3)]
+    out = []
+    quality._tree(x, g, np.arange(200), ["a", "b", "c"], cuts, 1, (), out, 3)
+    cost = lambda j, c: sum(((g[m] - g[m].mean()) ** 2).sum() for m in (x[:, j] > c, x[:, j] <= c))
+    best = min(((j, c) for j in range(3) for c in cuts[j] if 3 <= (x[:, j] > c).sum() <= 197), key=lambda jc: cost(*jc))
+    assert out[0][0][0] == "abc"[best[0]] and out[0][0][2] == pytest.approx(best[1])
+    y = (x[:, 0] + 0.5 * rng.normal(size=200) > 0).astype(float)
+    b0, b = quality._lasso(x, y, np.ones(200), 0.05, 4000)
+    gradient = x.T @ (1 / (1 + np.exp(-(x @ b + b0))) - y) / 200
+    assert abs((1 / (1 + np.exp(-(x @ b + b0))) - y).mean()) < 1e-6
+    assert all(abs(d + 0.05 * np.sign(w)) < 1e-5 if w else abs(d) <= 0.05 + 1e-6 for d, w in zip(gradient, b)) and (b == 0).any() and (b != 0).any()
+
+
+def test_quality_sample_is_bounded_and_reruns_agree(spark):
+    docs = spark.createDataFrame([(i % 60, "word " * (i % 60)) for i in range(600)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 3, "doc_id bigint, quality int")
+    a, b = (quality.fit(docs.repartition(n), labels.repartition(n), sample=20, trees=3) for n in (2, 5))
+    assert a == b
+
+
 def test_rules_as_columns_equal_rules_as_arrays(spark, docs):
     rules = [quality.Rule((("upper", True, 0.01), ("word_length", False, 8.0)), 1.5), quality.Rule((("distinct_words", False, 0.6),), -2.0)]
     names = list(quality.statistics(F.lit("")))
