@@ -513,6 +513,42 @@ def test_nearest_recall_and_odd_rows(spark):
     assert hnsw.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_of_far_and_repeated_rows(spark):
+    """Squares that overflow a double; a vec_id that asks twice alike, and one with two vectors."""
+    rows = [(i, [float(i % 7), 1e200 * (i + 1)]) for i in range(40)]
+    got = {r["rank"]: (r["vec_id"], r["score"]) for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 5).collect()}
+    assert len(got) == 10 and {i for i, _ in got.values()} <= set(range(41)) - {5} and got[1] == (4, pytest.approx(1e200)) and got[2] == (6, pytest.approx(1e200))
+    small = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100, [3.2, 1.0])] * 2 + [(200, [3.2, 1.0]), (200, [20.4, 1.0])]
+    found = hnsw.nearest(spark.createDataFrame(small, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 100 == 0, k=3).collect()
+    answers = {}
+    for r in found:
+        answers.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(answers[100]) == [(1, 200), (2, 3), (3, 4)]
+    assert sorted(answers[200]) == sorted([(1, 100), (2, 100), (3, 3), (1, 20), (2, 21), (3, 19)])
+
+
+def test_nearest_by_cells(spark):
+    """Clustered vectors in many cells: few are visited, and little is lost."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(30, 16))
+    x = (middle[rng.integers(0, 30, 3000)] + 0.1 * rng.normal(size=(3000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    hit = {}
+    for r in hnsw.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=200).collect():
+        hit.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11].tolist()) for q in range(0, 3000, 100)}
+    assert sum(len(hit[q] & want[q]) for q in want) / 300 >= 0.95
+
+
+def test_graph_is_searchable_and_flat():
+    x = np.random.default_rng(3).normal(size=(1500, 12)).astype(np.float32)
+    graph = hnsw.build(x, 8, 32)
+    assert [len(n) for n in graph["nodes"]] == sorted((len(n) for n in graph["nodes"]), reverse=True) and len(graph["nodes"][0]) == 1500
+    assert all(r.shape == (len(n), 16 if i == 0 else 8) and set(r[r >= 0].tolist()) <= set(n.tolist()) for i, (n, r) in enumerate(zip(graph["nodes"], graph["links"])))
+    ids, _ = hnsw.search(x, graph, x[:100], 1, 40)
+    assert (ids == np.arange(100)[:, None]).any(1).mean() >= 0.98
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = langid.fit(docs.filter(~held_out()), per_label=200)
