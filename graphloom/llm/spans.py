@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,25 +30,60 @@ def sentences(text: bytes) -> tuple[list[bytes], list[int]]:
     return found, [i for i, s in enumerate(found) if _SAYS.search(s)]
 
 
-def _span_rows(docs: DataFrame, n: int) -> DataFrame:
-    """did, th, pos (of the first sentence) and h1, h2 (128 bits) of each run of n sentences."""
+_PLACE = np.dtype([("did", "<i8"), ("th", "<i8"), ("pos", "<i4")])
+
+
+def _span_rows(docs: DataFrame, n: int, places: bool) -> DataFrame:
+    """The runs of n sentences of each chunk of documents, one row for each different one there: h1, h2 (its 128-bit
+    hash) and how often it comes (n) and where first (did, th, pos); or, with ``places``, chunk, h1, h2 and all places."""
 
     def run(batches):
+        number = 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                did, th, pos, digest = [], [], [], []
-                for d, t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
+                did, th, sizes, digest = part.column(0).to_numpy(), part.column(1).to_numpy(), [], []
+                for text in part.column(2).cast(pa.binary()).to_pylist():
                     found, says = sentences(text or b"")
                     hashed = [xxhash.xxh3_128_digest(b" ".join(found[i].lower().split())) for i in says]
                     own = [xxhash.xxh3_128_digest(b"".join(hashed[i : i + n])) for i in range(len(hashed) - n + 1)]
-                    did += [d] * len(own)
-                    th += [t] * len(own)
-                    pos += range(len(own))
+                    sizes.append(len(own))
                     digest += own
                 h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["did", "th", "pos", "h1", "h2"])
-
-    return docs.select("did", "th", "text").mapInArrow(lean(run), "did bigint, th bigint, pos int, h1 bigint, h2 bigint")
+                rows = np.empty(len(h), _PLACE)
+                rows["did"], rows["th"] = np.repeat(did, sizes), np.repeat(th, sizes)
+                ends = np.cumsum(sizes)
+                rows["pos"] = np.arange(len(h)) - np.repeat(ends - sizes, sizes)
+                order = np.lexsort((rows["pos"], rows["th"], rows["did"], h[:, 1], h[:, 0]))
+                h, rows = h[order], rows[order]
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]).any(1)
+                starts = np.flatnonzero(fresh)
+                columns = {"h1": h[starts, 0], "h2": h[starts, 1]}
+                if places:
+                    cuts = np.append(starts, len(rows)).astype(np.int32) * np.int32(_PLACE.itemsize)
+                    all_places = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(rows.tobytes())])
+                    columns = {"chunk": np.full(len(starts), TaskContext.get().partitionId() << 32 | number)} | columns | {"places": all_places}
+                else:
+                    columns |= {"n": np.diff(np.append(starts, len(rows)))} | {c: np.ascontiguousarray(rows[c][starts]) for c in ("did", "th", "pos")}
+                number += 1
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    shape = "chunk bigint, h1 bigint, h2 bigint, places binary" if places else "h1 bigint, h2 bigint, n bigint, did bigint, th bigint, pos int"
+    return docs.select("did", "th", "text").mapInArrow(lean(run), shape)
+
+
+def _later(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of a chunk's repeated spans: each document's places but the first of all."""
+    packed = rows["places"].combine_chunks()
+    places = np.frombuffer(b"".join(packed.to_pylist()), _PLACE)
+    times = np.asarray([len(p) // _PLACE.itemsize for p in packed.to_pylist()])
+    first = [np.repeat(rows[c].to_numpy(), times) for c in ("did", "th", "pos")]
+    places = np.unique(places[(places["did"] != first[0]) | (places["th"] != first[1]) | (places["pos"] != first[2])])
+    fresh = np.ones(len(places), bool)
+    fresh[1:] = (places["did"][1:] != places["did"][:-1]) | (places["th"][1:] != places["th"][:-1])
+    starts = np.flatnonzero(fresh)
+    hits = pa.ListArray.from_arrays(pa.array(np.append(starts, len(places)), pa.int32()), pa.array(np.ascontiguousarray(places["pos"])))
+    return pa.table({"did": np.ascontiguousarray(places["did"][starts]), "th": np.ascontiguousarray(places["th"][starts]), "hits": hits})
 
 
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -61,21 +97,21 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     where it is a column, by its length); all other columns stay. Null text stays null, without sentences; rows equal in
     doc_id and text count as one document, so all of them keep the same; an empty table gives an empty one.
 
-    Spans meet by their hash alone: counts are summed before the shuffle, and only spans that do repeat are joined to
-    their places, in a join that splits large keys.
+    Spans meet by their hash alone, and a chunk of documents brings each different one once, however many of them have
+    it: counts are summed before the shuffle, and only spans that do repeat go back to their chunk, with the first place.
     """
     if span < 2:
         raise ValueError("a span has two sentences at least")
     spark = docs.sparkSession
     taken = {c.lower() for c in docs.columns}
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"), "text")
-    spans = _span_rows(keyed, span)
     place = F.struct("did", "th", "pos")
-    repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    repeated = _span_rows(keyed, span, False).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.sum("n").alias("n")).filter("n > 1").select("h1", "h2", "first.*")
     repeated = settle(repeated, "spans-repeated")
     forget(spark)
-    later = _span_rows(keyed, span).join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select("did", "th", "pos")
-    hits = settle(later.distinct().groupBy("did", "th").agg(F.collect_list("pos").alias("hits")), "spans-hits")
+    back = _span_rows(keyed, span, True).join(repeated, ["h1", "h2"]).select("chunk", "places", "did", "th", "pos")
+    later = back.groupBy("chunk").applyInArrow(_later, "did bigint, th bigint, hits array<int>")
+    hits = settle(later.groupBy("did", "th").agg(F.flatten(F.collect_set("hits")).alias("hits")), "spans-hits")  # equal rows have equal hits
     forget(spark)
     joined = keyed.select("row", "did", "th").join(hits.withColumnsRenamed({"did": "hit_did", "th": "hit_th"}), (F.col("did") == F.col("hit_did")) & (F.col("th") == F.col("hit_th")), "left").select("row", "hits")
     row_type = joined.schema["row"].dataType
