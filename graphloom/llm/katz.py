@@ -47,7 +47,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        body = zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
+        body = zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
         out.append(struct.pack("<3sQI", a.dtype.str[-3:].encode().ljust(3), len(a), len(body)) + body)
     return b"".join(out)
 
@@ -357,7 +357,7 @@ def hot_hashes(docs: DataFrame, size: int, most: int = 256, sample_bytes: int =
     return np.unique(hashes(pa.array([r["word"] for r in common], pa.string())))
 
 
-def score(docs: DataFrame, part_bytes: int = 16 << 20, hot_words: int = 256) -> DataFrame:
+def score(docs: DataFrame, part_bytes: int = 24 << 20, hot_words: int = 256) -> DataFrame:
     """Scores of all whole texts of ``docs`` (doc_id, text, held_out), by a model of those not held out.
 
     Tokens are the words (A-Z in lower case, cut at ASCII white space) and one end. n_known: tokens with a count in the
