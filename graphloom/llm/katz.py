@@ -6,9 +6,9 @@ A bigram model over words as tables of packed arrays, one row for what one task
    keep, packed, which of the chunk's bigrams they have how often.
 2. A part holds all bigrams of its words: counts, the counts of the words themselves, and counts of counts, which sum to
    the model's discounts. It asks the parts of the second words for their counts.
-3. With those, a part knows each discounted probability and each backoff weight, and answers each chunk bigram by bigram,
-   in double precision, with the second word's count.
-4. A chunk's documents take the answers: a seen bigram's probability, else its weight times the unigram's, and add up.
+3. With those, a part knows the backoff weight of each first word, and answers each chunk: the bigrams' counts and their
+   second words', and once for each first word the sum of its counts and its weight, in double precision.
+4. A chunk's documents take the answers: a seen bigram's discounted share, else the weight times the unigram, and add up.
 
 Bigrams of a hot first word (the start of texts, and words that a sample shows to be common) go to the parts of their
 second words instead, so that no part holds all of them. A second word's count is there, so each part sends counts of
@@ -264,22 +264,31 @@ class Model:
         d = np.where(c > TRUSTED, 1.0, self.single[np.minimum(c, TRUSTED)])
         return np.where(c > 0, d * c / (self.tokens + self.extra), self.unknown) if self.tokens else np.ones(len(c))
 
-    def bigrams(self, sizes: np.ndarray, names: np.ndarray, c: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """What pairs have of their probability: the whole of it where they are seen, else the weight by which their
-        second word's (``low``) is to be multiplied. ``sizes`` of them have the same first word; names of hot ones, else
-        0; c are counts."""
+    def groups(self, sizes: np.ndarray, names: np.ndarray, c: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each first word: what its pairs' counts are divided by, its backoff weight, and whether all words are seen
+        after it. ``sizes`` of the pairs have the same first word; names of hot ones, else 0; c are counts, low the
+        unigrams."""
         starts = np.cumsum(sizes) - sizes
         is_hot = names > 0
         total = np.where(is_hot, self.total[names], np.add.reduceat(c, starts))
-        kept = np.where(c > TRUSTED, 1.0, self.pairs[np.minimum(c, TRUSTED)]) * c
-        own = np.where(is_hot, self.own[names], np.add.reduceat(kept, starts))
+        own = np.where(is_hot, self.own[names], np.add.reduceat(self.kept(c), starts))
         rest = np.where(is_hot, self.rest[names], 1 - np.add.reduceat(np.where(c > 0, low, 0.0), starts))
         with np.errstate(divide="ignore", invalid="ignore"):
             room = np.where(own < total, 0.0, 0.5)  # a word with large counts only: half a count makes room
             weight = np.where(total > 0, (1 - own / (total + room)) / rest, 1.0)
-            whole = rest <= 1e-12  # all words are seen after it: nothing to back off to
-            seen = np.where(np.repeat(whole, sizes), c / np.repeat(total, sizes), kept / np.repeat(total + room, sizes))
-        return np.where(c > 0, seen, np.repeat(np.where(whole, 1.0, weight), sizes))
+        whole = rest <= 1e-12  # nothing to back off to
+        return np.where(whole, total, total + room), np.where(whole, 1.0, weight), whole
+
+    def kept(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > TRUSTED, 1.0, self.pairs[np.minimum(c, TRUSTED)]) * c
+
+    def log(self, lengths: np.ndarray, by: np.ndarray, weight: np.ndarray, whole: np.ndarray, c: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of pairs, ``lengths`` of which have the same first word (``groups``): the discounted
+        count's share where they are seen, else the weight times the second word's unigram."""
+        by, weight, whole = (np.repeat(x, lengths) for x in (by, weight, whole))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = np.where(whole, c, self.kept(c)) / by
+        return np.log10(np.where(c > 0, seen, weight * self.unigram(single)))
 
 
 def _answer(model: Model):
@@ -298,12 +307,15 @@ def _answer(model: Model):
         counts = np.concatenate([_unpack(p)[0] for _, p in sorted(told)]).astype(np.int64)
         sizes, names, c, index, chunks, lengths, steps = _unpack(own)
         c = c.astype(np.int64)
-        share = model.bigrams(sizes.astype(np.int64), names.astype(np.int64), c, model.unigram(counts)[index])
-        single, last = counts[index], 0
+        sizes = sizes.astype(np.int64)
+        by, weight, whole = model.groups(sizes, names.astype(np.int64), c, model.unigram(counts)[index])
+        of, single, last = np.repeat(np.arange(len(sizes)), sizes), counts[index], 0
         for chunk, n in zip(chunks.tolist(), lengths.tolist()):
             at = np.cumsum(steps[last : last + n].astype(np.uint32), dtype=np.uint32)
-            values, codes = np.unique(share[at], return_inverse=True)  # few, as most counts are small
-            out.append((chunk, _KINDS["answer"], key[0].as_py(), _pack(values, _narrow(codes), (c[at] > 0).astype(np.uint8), _narrow(single[at]))))
+            first = np.flatnonzero(np.diff(of[at], prepend=-1))  # of the pairs of one first word, which stand together
+            group, length = of[at][first], np.diff(np.append(first, n))
+            twice = (2 * by[group]).astype(np.int64)
+            out.append((chunk, _KINDS["answer"], key[0].as_py(), _pack(_narrow(length), _narrow(twice), weight[group], whole[group].astype(np.uint8), _narrow(c[at]), _narrow(single[at]))))
             last += n
         return _messages(out)
 
@@ -326,11 +338,10 @@ def _add(model: Model):
                 own = payload
         docs, known, held, tokens, steps, parts, lengths = _unpack(own)
         found = [_unpack(answers[p]) for p in parts.tolist()]
-        if [len(f[1]) for f in found] != lengths.tolist():
+        if [len(f[4]) for f in found] != lengths.tolist():
             raise ValueError("answers do not fit the chunk")
-        count = np.concatenate([f[3] for f in found]).astype(np.int64)
-        share, seen = np.concatenate([f[0][f[1]] for f in found]), np.concatenate([f[2] for f in found]).astype(bool)
-        log = np.log10(np.where(seen, share, share * model.unigram(count)))
+        count = np.concatenate([f[5] for f in found]).astype(np.int64)
+        log = np.concatenate([model.log(length.astype(np.int64), twice / 2, weight, whole.astype(bool), c.astype(np.int64), single.astype(np.int64)) for length, twice, weight, whole, c, single in found])
         starts = np.cumsum(tokens.astype(np.int64)) - tokens
         sums = np.cumsum(steps.astype(np.int64))
         at = sums - np.repeat(np.concatenate([[0], sums])[starts], tokens)
