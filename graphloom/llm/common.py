@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import scratch, settle
+from ..durable import hadoop, scratch, settle
 
 __all__ = ["scratch", "settle"]
 
@@ -50,6 +50,13 @@ def forget(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, *uris: str) -> None:
+    """Delete scratch tables whose every reader is itself a written table by now."""
+    for uri in uris:
+        fs, path = hadoop(spark, uri)
+        fs.delete(path, True)
+
+
 def filesystem(uri: str):
     """(filesystem, path) of a URI in shared storage, for raw files that Spark has no writer for."""
     from pyarrow import fs

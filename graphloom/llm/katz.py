@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, gathered, hashes, held_out, lean, relieve, settle, table, words_of
+from .common import forget, gathered, hashes, held_out, lean, relieve, remove, scratch, table, words_of
 
 _KINDS = {"model": 0, "words": 1, "ask": 2, "stats": 3, "docs": 4, "told": 5, "answer": 6}
 _MESSAGE = "dst bigint, kind int, src bigint, payload binary"
@@ -383,14 +383,21 @@ def score(docs: DataFrame, part_bytes: int = 24 << 20, hot_words: int = 256) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     hot = hot_hashes(docs, size, hot_words)
     said = docs.mapInArrow(lean(_chunks(parts, hot)), _MESSAGE).groupBy("dst").applyInArrow(_gather(parts, HOT + len(hot)), _MESSAGE)
-    said = settle(said, "katz-parts", "kind").select("dst", "kind", "src", "payload")
+    folder, written = scratch(spark, "katz"), spark.read.schema(_MESSAGE)
+    said.write.partitionBy("kind").parquet(f"{folder}/parts")
+    said = written.parquet(f"{folder}/parts").select("dst", "kind", "src", "payload")
     forget(spark)
     kind = lambda *names: F.col("kind").isin([_KINDS[n] for n in names])
     sums = said.filter(kind("stats")).mapInArrow(_numbers, "name bigint, slot bigint, number bigint").groupBy("name", "slot").agg(F.sum("number"))
     model = Model([tuple(r) for r in sums.collect()], len(hot))  # a bounded table: a row for each hot word and slot
-    told = settle(said.filter(kind("words", "ask")).groupBy("dst").applyInArrow(_tell(model.counts.astype(np.uint64)), _MESSAGE), "katz-told")
+    told = said.filter(kind("words", "ask")).groupBy("dst").applyInArrow(_tell(model.counts.astype(np.uint64)), _MESSAGE)
+    told.write.parquet(f"{folder}/told")
+    remove(spark, *(f"{folder}/parts/kind={_KINDS[k]}" for k in ("stats", "words", "ask")))
+    told = written.parquet(f"{folder}/told")
     answers = said.filter(kind("model")).unionByName(told).groupBy("dst").applyInArrow(_answer(model), _MESSAGE)
-    answers = settle(answers, "katz-answers")
+    answers.write.parquet(f"{folder}/answers")
+    remove(spark, f"{folder}/told", f"{folder}/parts/kind={_KINDS['model']}")
+    answers = written.parquet(f"{folder}/answers")
     forget(spark)
     return said.filter(kind("docs")).unionByName(answers).groupBy("dst").applyInArrow(_add(model), _SCORED)
 
