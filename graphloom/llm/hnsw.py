@@ -256,7 +256,10 @@ def nearest(rows: DataFrame, queries, k: int = 10, shard_rows: int = 8192, m: in
     fitted = {}
     for dim, n in sizes.items():
         cells = min(max_cells, math.ceil(n / shard_rows))
-        some = distinct.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec"), "vec").select("vec").limit(sample if cells > 1 else 1).collect()
+        wanted = sample if cells > 1 else 1
+        # each task would send that many rows: below this hash lie about twice as many in all (and 64), whatever the tasks
+        few = F.xxhash64("vec") <= min((1 << 63) - 1, (1 << 64) * (2 * wanted + 64) // n - (1 << 63))
+        some = distinct.filter((F.col("dim") == dim) & few).orderBy(F.xxhash64("vec"), "vec").select("vec").limit(wanted).collect()
         (x,) = comparable(np.frombuffer(b"".join(bytes(r["vec"]) for r in some), kind).reshape(len(some), -1))
         fitted[dim] = centres(x, cells)
 
