@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import lean, pieces, table
 
@@ -25,6 +26,24 @@ DC_TABLE = ([0, 1, 5, 1, 1, 1] + [0] * 10, [4, 0, 1, 2, 3, 7, 6, 8, 5])
 AC_TABLE = ([1] + [0] * 15, [0])
 
 
+def _with_rest(symbols: str) -> list[int]:
+    """The symbols given in hexadecimal, then all other AC symbols in ascending order."""
+    first = list(bytes.fromhex(symbols))
+    return first + sorted({0, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))} - set(first))
+
+
+#: The typical Huffman tables of the JPEG standard (annex K.3), which motion-JPEG frames without tables use.
+TYPICAL_DC = {
+    0: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12))),
+    1: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], list(range(12))),
+}
+TYPICAL_AC = {
+    0: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], _with_rest("01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82")),
+    1: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], _with_rest("00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1")),
+}
+_UNREADABLE = (ValueError, KeyError, IndexError, ZeroDivisionError, RecursionError, struct.error)
+
+
 def huffman(counts, symbols) -> dict[int, tuple[int, int]]:
     """Canonical codes: symbol -> (code, length)."""
     out, code, k = {}, 0, 0
@@ -167,44 +186,48 @@ def encode(payloads: list[bytes], lengths: list[int]) -> list[bytes]:
 
 
 def parse(media: bytes) -> dict:
-    """What an AVI file holds: frame bytes in order (by idx1, else by walking movi), seconds a frame, own chunks."""
+    """What an AVI file holds: frame bytes in order (by idx1, else by walking movi; those of further RIFF segments, which
+    idx1 does not list, by walking them), seconds a frame, own chunks. A frame dropped in recording has no bytes."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     found: dict = {"spf": 1 / FPS, "frames": [], "chunks": {}}
-    movi, index, walk = None, None, []
+    movi, index, walk, later = None, None, [], []
 
-    def read(a: int, b: int) -> None:
+    def read(a: int, b: int, frames: list) -> None:
         nonlocal movi, index
         while a + 8 <= b:
             name, size = media[a : a + 4], struct.unpack_from("<I", media, a + 4)[0]
             body, end = a + 8, min(a + 8 + size, b)
             if name == b"LIST":
-                if media[body : body + 4] == b"movi":
+                if media[body : body + 4] == b"movi" and movi is None:
                     movi = body
-                read(body + 4, end)
+                read(body + 4, end, frames)
+            elif name == b"RIFF" and media[body : body + 4] == b"AVIX":
+                read(body + 4, end, later)
             elif name == b"avih" and size >= 4:
                 found["spf"] = struct.unpack_from("<I", media, body)[0] / 1e6
             elif name == b"idx1":
                 index = (body, end)
             elif name[2:] in (b"dc", b"db"):
-                walk.append((body, end))
+                frames.append((body, end))
             else:
                 found["chunks"][name] = media[body:end]
             a = body + size + (size & 1)
 
-    read(12, len(media))
+    read(12, len(media), walk)
     if index and movi is not None:
         entries = [e for e in struct.iter_unpack("<4sIII", media[index[0] : index[1] - (index[1] - index[0]) % 16]) if e[0][2:] in (b"dc", b"db")]
         base = movi if entries and media[movi + entries[0][2] : movi + entries[0][2] + 4] == entries[0][0] else 0  # offsets count from movi, or from the file
         found["frames"] = [media[base + at + 8 : base + at + 8 + size] for _, _, at, size in entries]
     else:
         found["frames"] = [media[a:b] for a, b in walk]
+    found["frames"] += [media[a:b] for a, b in later]
     return found
 
 
 def parse_frame(jpeg: bytes) -> dict:
     """A baseline frame's size, tables, components and streams (one for each restart interval, unstuffed)."""
-    out: dict = {"quant": {}, "dc": {}, "ac": {}, "restart": 0}
+    out: dict = {"quant": {}, "dc": dict(TYPICAL_DC), "ac": dict(TYPICAL_AC), "restart": 0}
     at = 2
     while at + 4 <= len(jpeg):
         marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
@@ -403,30 +426,65 @@ def shots(levels: list[np.ndarray], bins: int = 32, around: int = 6, floor: floa
     return list(zip(cuts, [*cuts[1:], len(levels)]))
 
 
-_CLIPS = "array<struct<clip:int,first_frame:int,last_frame:int,start_s:double,end_s:double,level:double>>"
-
-
-def clips(media: DataFrame, column: str = "media") -> DataFrame:
+def levels_of(frames: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
+    """Each frame's levels, and whether it is damaged. Empty frames, which are dropped ones, and damaged ones repeat the
+    frame before them; at the start, the first that can be read. ValueError if there is none."""
+
+    def alone(jpeg: bytes) -> np.ndarray | None:
+        try:
+            return decode_levels([jpeg])[0]
+        except _UNREADABLE:
+            return None
+
+    some = [j for j in frames if j]
+    try:
+        read = decode_levels(some)
+    except _UNREADABLE:
+        read = [alone(j) for j in some]
+    last = next((x for x in read if x is not None), None)
+    if last is None:
+        raise ValueError("no frame that can be read")
+    each, out, damaged = iter(read), [], []
+    for j in frames:
+        own = next(each) if j else None
+        last = last if own is None else own
+        out.append(last)
+        damaged.append(bool(j) and own is None)
+    return out, damaged
+
+
+_CLIP = {"clip": pa.int32(), "first_frame": pa.int32(), "last_frame": pa.int32(), "start_s": pa.float64(), "end_s": pa.float64(), "level": pa.float64(), "damaged": pa.int32(), "error": pa.string()}
+_CLIPS = "clips array<struct<clip:int,first_frame:int,last_frame:int,start_s:double,end_s:double,level:double,damaged:int,error:string>>"
+
+
+def _clip_rows(media: bytes) -> list[dict]:
+    try:
+        file = parse(media)
+        levels, damaged = levels_of(file["frames"])
+    except _UNREADABLE as e:
+        return [{"error": f"{type(e).__name__}: {e}"}]
+    spf = file["spf"]
+    return [{"clip": i, "first_frame": a, "last_frame": b, "start_s": a * spf, "end_s": b * spf, "level": float(np.mean([x.mean() for x in levels[a:b]])), "damaged": sum(damaged[a:b])} for i, (a, b) in enumerate(shots(levels))]
+
+
+def clips(media: DataFrame, column: str = "media", errors: bool = False) -> DataFrame:
     """``media`` without ``column``, one row for each shot of each AVI value: clip number, frames [first, last), times,
-    mean level. Null media, and what is not a readable motion-JPEG AVI, give no row; frames are decoded whole."""
-    rest = [c for c in media.columns if c != column]
+    mean level, and how many of its frames are damaged (``levels_of``). Null media give no row. What is not a readable
+    motion-JPEG AVI gives no row either, or with ``errors`` one with the reason in the column error and a null clip.
+    Frames are decoded whole; columns of ``media`` that are named like one of these are replaced."""
+    names = [n for n in _CLIP if errors or n != "error"]
+    rest = [c for c in media.columns if c != column and c.lower() not in names]
 
     def read(batches):
         for batch in batches:
-            found = []
-            for value in batch.column(0).to_pylist():
-                try:
-                    file = parse(value or b"")
-                    levels = decode_levels(file["frames"])
-                    found.append([{"clip": i, "first_frame": a, "last_frame": b, "start_s": a * file["spf"], "end_s": b * file["spf"], "level": float(np.mean([x.mean() for x in levels[a:b]]))} for i, (a, b) in enumerate(shots(levels))])
-                except (ValueError, KeyError, IndexError, struct.error):
-                    found.append([])
-            shape = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("level", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, shape)], ["rest", "clips"])
-
-    packed = media.select(F.col(f"`{column}`").alias("media"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
-    shape = f"rest {packed.schema['rest'].dataType.simpleString()}, clips {_CLIPS}"
-    return packed.mapInArrow(lean(read), shape).select("rest", F.explode("clips").alias("clip")).select("rest.*", "clip.*")
+            found = [None if v is None else _clip_rows(v) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.struct(list(_CLIP.items()))))], ["rest", "clips"])
+
+    packed = media.select(F.col(f"`{column}`").alias("media"), F.struct(F.lit(0).alias("of"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    shape = StructType([packed.schema["rest"], *StructType.fromDDL(_CLIPS)])
+    shown = packed.mapInArrow(lean(read), shape).select("rest", F.explode("clips").alias("clip"))
+    shown = shown if errors else shown.filter("clip.error IS NULL")
+    return shown.select(*[F.col("rest")[c].alias(c) for c in rest], *[F.col("clip")[n].alias(n) for n in names])
 
 
 def store(docs: DataFrame) -> DataFrame:
