@@ -373,12 +373,14 @@ def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of ``groups``, that of the smallest doc_id (of rows that share it, that of the smallest text
     hash); rows without words all stay. The columns are those of ``docs``."""
-    names = docs.columns
-    keyed = docs.withColumns({"__id": _id(F.col("doc_id").cast("long")), "__h": F.xxhash64("text"), "__some": F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    some = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)).alias("some")
+    keyed = docs.select(row, _id(F.col("doc_id").cast("long")).alias("id"), F.xxhash64("text").alias("h"), some)
     found = groups(docs, **options).filter("n_shingles > 0").select(_id("doc_id").alias("id"), "h", _id("component_id").alias("component"))
-    first = found.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
-    kept = keyed.filter("__some").join(first, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
-    return kept.unionByName(keyed.filter("NOT __some")).select(*[F.col(f"`{c}`") for c in names])
+    first = found.groupBy("component").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h")
+    kept = keyed.filter("some").join(first, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    whole = kept.select("row").unionByName(keyed.filter("NOT some").select("row"))
+    return whole.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import WORD, lean, settle, table
 
@@ -181,7 +182,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, blo
     dealt = parts.groupBy("sid").applyInPandas(_deal(block_words, cap, "part"), "sid int, part bigint, seats bigint, quota bigint")
     plan = shards.join(dealt, ["sid", "part"]).groupBy("sid", "part").applyInPandas(_deal(block_words, cap, "shard"), "sid int, shard bigint, seats bigint, quota bigint")
     rows = placed.select(*(["row"] if spans else ["doc_id"]), "size", "oid", "hash", "sid", "shard").join(plan.select("sid", "shard", "quota"), ["sid", "shard"])
-    shape = f"row {sized.schema['row'].dataType.simpleString()}, size bigint, sid int, taken bigint, spans {_SPANS}" if spans else "doc_id bigint, size bigint, sid int, taken bigint"
+    shape = StructType([sized.schema["row" if spans else "doc_id"], *StructType.fromDDL("size bigint, sid int, taken bigint" + (f", spans {_SPANS}" if spans else ""))])
     taken = rows.groupBy("sid", "shard").applyInArrow(_select(seed, block_words, spans), shape)
     return taken.join(known.select("sid", "source_size", "target"), "sid").drop("sid")
 

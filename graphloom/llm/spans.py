@@ -10,6 +10,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import forget, lean, pieces, settle, table
 
@@ -114,7 +115,7 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     hits = settle(later.groupBy("did", "th").agg(F.flatten(F.collect_set("hits")).alias("hits")), "spans-hits")  # equal rows have equal hits
     forget(spark)
     joined = keyed.select("row", "did", "th").join(hits.withColumnsRenamed({"did": "hit_did", "th": "hit_th"}), (F.col("did") == F.col("hit_did")) & (F.col("th") == F.col("hit_th")), "left").select("row", "hits")
-    row_type = joined.schema["row"].dataType
+    shape = StructType([joined.schema["row"], *StructType.fromDDL("kept string, n_sentences int, n_removed int")])
 
     def cut(batches):
         for batch in batches:
@@ -128,7 +129,7 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 counts.append(len(says))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], ["row", "kept", "n_sentences", "n_removed"])
 
-    out = joined.mapInArrow(lean(cut), f"row {row_type.simpleString()}, kept string, n_sentences int, n_removed int")
+    out = joined.mapInArrow(lean(cut), shape)
     own = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast("long")} if "n_chars" in taken else {})
     columns = [own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     return out.select(*columns, "n_sentences", "n_removed")

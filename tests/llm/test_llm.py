@@ -401,6 +401,73 @@ def test_frames_with_all_coefficients(parts, pattern, restart):
             assert np.abs(pixels[top : top + 8, left : left + 8].astype(int) - want).max() <= 1
 
 
+def test_typical_tables(spark):
+    """Against the tables that Java has of the same standard, and canonical: each code leaves the last one of ones free."""
+    java = spark._jvm.javax.imageio.plugins.jpeg.JPEGHuffmanTable
+    for mine, theirs in ((media.TYPICAL_DC, (java.StdDCLuminance, java.StdDCChrominance)), (media.TYPICAL_AC, (java.StdACLuminance, java.StdACChrominance))):
+        for i in (0, 1):
+            counts, symbols = list(theirs[i].getLengths()), list(theirs[i].getValues())
+            assert mine[i] == (counts + [0] * (16 - len(counts)), symbols)
+
+
+def _avi(frames, more=(), index=True):
+    """A plain AVI file: a segment with ``frames`` and an AVIX segment with ``more``."""
+    body, at, rows = b"", 4, []
+    for j in frames:
+        rows.append(struct.pack("<4sIII", b"00dc", 16, at, len(j)))
+        body += media._chunk(b"00dc", j)
+        at = 4 + len(body)
+    head = media._list(b"hdrl", media._chunk(b"avih", struct.pack("<14I", 40_000, *[0] * 13)))
+    first = media._chunk(b"RIFF", b"AVI " + head + media._list(b"movi", body) + (media._chunk(b"idx1", b"".join(rows)) if index else b""))
+    return first + (media._chunk(b"RIFF", b"AVIX" + media._list(b"movi", b"".join(media._chunk(b"00dc", j) for j in more))) if more else b"")
+
+
+def test_clips_of_files_of_others(spark):
+    """Frames without Huffman tables, dropped and damaged frames, further segments, and files that cannot be read."""
+    def frame(level, tables=None):
+        tables = tables or (media.TYPICAL_DC[0], media.TYPICAL_AC[0])
+        dc, ac = media.huffman(*tables[0]), media.huffman(*tables[1])
+        d = level - 128
+        n = abs(d).bit_length()
+        show = lambda c: format(c[0], f"0{c[1]}b")
+        bits = show(dc[n]) + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "") + show(ac[0]) + (show(dc[0]) + show(ac[0])) * 3
+        bits += "1" * (-len(bits) % 8)
+        raw = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        seg = media._segment
+        return b"\xff\xd8" + seg(0xDB, bytes([0, 8] + [1] * 63)) + seg(0xC0, struct.pack(">BHHB", 8, 16, 16, 1) + bytes([1, 0x11, 0])) + seg(0xDA, bytes([1, 1, 0, 0, 63, 0])) + raw + b"\xff\xd9"
+
+    dark, light, bad = frame(10), frame(200), frame(10)[:40]
+    files = {
+        1: _avi([dark] * 5 + [light] * 3),
+        2: _avi([b"", dark, b"", dark, dark, light, b"", light]),
+        3: _avi([dark, bad, dark, dark, dark, light, light, light]),
+        4: _avi([dark] * 5, [light] * 3),
+        5: _avi([dark] * 5, [light] * 3, index=False),
+        6: _avi([bad, b""]),
+        7: _avi([]),
+        8: b"RIFF",
+        9: None,
+    }
+    table = spark.createDataFrame([(k, v, 7, "x") for k, v in files.items()], "doc_id bigint, media binary, clip int, `a b.c:d` string")
+    got = media.clips(table, errors=True)
+    assert got.columns == ["doc_id", "a b.c:d", "clip", "first_frame", "last_frame", "start_s", "end_s", "level", "damaged", "error"]
+    rows = [tuple(r) for r in got.orderBy("doc_id", "clip").collect()]
+    assert [r for r in rows if r[0] <= 5] == [(i, "x", *c, int(i == 3 and c[0] == 0), None) for i in range(1, 6) for c in ((0, 0, 5, 0.0, 0.2, 10.0), (1, 5, 8, 0.2, 0.32, 200.0))]
+    assert [(r[0], r[2], bool(r[-1])) for r in rows if r[0] > 5] == [(i, None, True) for i in (6, 7, 8)]
+    plain = media.clips(table.select("media"))
+    assert plain.count() == 10 and "error" not in plain.columns
+
+
+def test_columns_of_any_name(spark):
+    text = "One two three four five six. Seven eight nine ten eleven twelve. And so on it goes here."
+    rows = [(1, text, "a", 1, "p", 2), (2, text, "b", 3, "q", 4), (3, "other words", "a", 5, "r", 6), (4, None, "a", 7, "s", 8)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, `a b` int, `x.y:z<w>` string, __id int")
+    assert sorted(tuple(r) for r in jaccard.keep_one(table).collect()) == [rows[0], *rows[2:]]
+    assert [tuple(r)[:6] for r in spans.dedup(table).orderBy("doc_id").collect()] == [rows[0], (2, "", *rows[1][2:]), *rows[2:]]
+    mixed = mixing.mixed_texts(table)
+    assert mixed.columns == table.columns and {r["__id"] for r in mixed.collect()} <= {2, 4, 6}
+
+
 def test_shots():
     dark, light = np.full((4, 64), 10, np.uint8), np.full((4, 64), 200, np.uint8)
     assert media.shots([dark] * 5 + [light] * 3) == [(0, 5), (5, 8)] and media.shots([dark]) == [(0, 1)] and media.shots([]) == []
