@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lean, pieces, table
+from .common import lean, pieces, settle, table
 
 FPS, ACROSS, GROUP = 25, 64, 1 << 16
 #: Order in which a block's coefficients are stored: along the diagonals, in turn up and down.
@@ -527,5 +527,5 @@ def read_back(media: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents through motion-JPEG AVI and back."""
-    return read_back(store(table(spark, sf_dir, "documents")))
+    """All documents through a written table of motion-JPEG AVI files and back."""
+    return read_back(settle(store(table(spark, sf_dir, "documents")), "media"))
