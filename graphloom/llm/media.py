@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lean, pieces, settle, table
+from .common import lean, pieces, scratch, table
 
 FPS, ACROSS, GROUP = 25, 64, 1 << 16
 #: Order in which a block's coefficients are stored: along the diagonals, in turn up and down.
@@ -528,4 +528,6 @@ def read_back(media: DataFrame) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through a written table of motion-JPEG AVI files and back."""
-    return read_back(settle(store(table(spark, sf_dir, "documents")), "media"))
+    media, path = store(table(spark, sf_dir, "documents")), scratch(spark, "media")
+    media.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    return read_back(spark.read.schema(media.schema).parquet(path))
