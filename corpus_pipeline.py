@@ -25,9 +25,9 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the sentences of repeated spans."""
+    """Texts without the sentences of repeated spans and without repeated runs of 50 words."""
     small_batches(spark)
-    return spans.dedup(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return spans.dedup(docs, words=spans.WORDS).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -308,6 +308,56 @@ def test_spans_of_sentences_of_any_length(spark, n):
         assert got[2]["text"] == f"Beta begins here.{end}Beta ends there." and got[2]["n_removed"] == k
 
 
+def runs_left(rows, n):
+    """Brute force: without any repeat of n words but its first, one whose words overlap the first from there on."""
+    first, gone = {}, {i: set() for i, _ in rows}
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    words = {i: [m for m in word.finditer(t or "")] for i, t in rows}
+    for i, _ in sorted(rows):
+        lower = [m.group().lower() for m in words[i]]
+        for k in range(len(lower) - n + 1):
+            doc, at = first.setdefault(tuple(lower[k : k + n]), (i, k))
+            if (doc, at) != (i, k):
+                gone[i] |= set(range(max(k, at + n) if doc == i else k, k + n))
+    kept = {}
+    for i, t in rows:
+        starts = [m.start() for m in words[i]] + [len(t or "")]
+        kept[i] = t and t[: starts[0]] + "".join(t[starts[k] : starts[k + 1]] for k in range(len(words[i])) if k not in gone[i])
+    return kept
+
+
+@pytest.mark.parametrize("n", [2, 7, 16, 50])
+def test_runs_of_words(spark, n):
+    rng = np.random.default_rng(n)
+    draw = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    passages = [draw(n + int(k)) for k in rng.integers(0, 12, 6)] + [draw(n - 1), ["heat"] * (n + 9), draw(3) * n]
+    rows = []
+    for i in range(60):
+        words = draw(int(rng.integers(0, 9)))
+        for k in rng.integers(0, len(passages), int(rng.integers(0, 4))):
+            words += [w.upper() if rng.random() < 0.2 else w for w in passages[k]] + draw(int(rng.integers(0, 9)))
+        rows.append((i, "".join(w + str(rng.choice([" ", "  ", " \t"])) for w in words)))
+    rows += [(60, None), (61, ""), (62, " ".join(draw(n - 1)))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = dict(spans.dedup(table, span=1000, words=n).select("doc_id", "text").collect())
+    assert got == runs_left(rows, n)
+
+
+def test_passages_that_cross_sentences(spark):
+    passage = " ".join(f"p{i}" + "." * (i in (9, 30)) for i in range(51))  # one whole sentence, and parts of two
+    rows = [(1, f"Alpha opens {passage} then alpha closes."), (2, f"Beta begins {passage} while beta ends."), (3, f"Gamma {passage.upper()[3:]}")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    assert {r["text"] for r in spans.dedup(table).collect()} == {t for _, t in rows}
+    got = {r["doc_id"]: r for r in spans.dedup(table, words=spans.WORDS).collect()}
+    assert [got[i]["text"] for i in (1, 2, 3)] == [rows[0][1], "Beta begins while beta ends.", "Gamma "]
+    assert [got[i]["n_removed"] for i in (1, 2)] == [0, 3] and got[2]["n_chars"] == len(got[2]["text"])
+    odd = table.withColumns({"a b": F.lit(1), "x.y:z<w>": F.lit("p"), "did": F.lit(2), "marks": F.lit(3)})
+    again = spans.dedup(odd, words=spans.WORDS).collect()
+    assert {r["text"] for r in again} == {r["text"] for r in got.values()} and all(tuple(r)[3:7] == (1, "p", 2, 3) for r in again)
+    with pytest.raises(ValueError):
+        spans.dedup(table, words=1)
+
+
 def test_spans_within_a_text_and_without_spaces(spark):
     passage = "春天来了。花都开了！鸟儿在唱歌。我们去山上看花吧？"
     rows = [(1, f"第一篇的开头。{passage}第一篇的结尾。"), (2, f"另一篇由此开始。{passage}另一篇到此为止。"), (3, "A b.\nC d.\nE f.\nA b.\nC d.\nE f.\n")]

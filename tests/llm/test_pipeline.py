@@ -39,3 +39,10 @@ def test_stages(spark, sf_dir):
     assert sum(r["length"] for r in packed if r["start"] == 0) > 0
     assert len(packed) == packing.cut_pieces(kept["last"], 2048, 1, packing.default_path()).count()
     assert corpus_pipeline.run(spark, sf_dir).count() == len(packed)
+
+
+def test_repeated_spans_take_passages(spark, sf_dir):
+    passage = " ".join(f"p{i}" for i in range(51))
+    rows = [(1, f"Alpha opens {passage} then alpha closes."), (2, f"Beta begins {passage} while beta ends.")]
+    stage = dict(corpus_pipeline.STAGES)["repeated_spans"]
+    assert dict(stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf_dir).collect()) == {1: rows[0][1], 2: "Beta begins while beta ends."}
