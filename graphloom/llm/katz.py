@@ -83,49 +83,75 @@ def _chunks(parts: int, hot: np.ndarray):
     """Step 1 for a chunk: its bigrams to the parts, its documents to a row of their own. hot: hashes in order of name."""
     limit = np.uint64(HOT + len(hot))
 
+    def told(chunk: int, batch: pa.RecordBatch) -> pa.Table:
+        codes, bounds, words = words_of(batch.column(2))
+        codes = codes.astype(np.int32)
+        names = np.concatenate([hashes(words), [START, END]]).astype(np.uint64)
+        del words
+        relieve()  # what splitting took
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+            names = np.where(hot[at] == names, at.astype(np.uint64) + np.uint64(HOT), names)
+        n = np.diff(bounds)
+        tokens = n + 1
+        stops = np.cumsum(tokens)
+        place = np.ones(int(stops[-1]), bool)
+        place[stops - 1] = False
+        following = np.full(len(place), len(names) - 1, np.int32)
+        following[place] = codes
+        del codes, place
+        pair = np.empty(len(following), np.int64)
+        pair[1:] = following[:-1]
+        pair[stops - tokens] = len(names) - 2
+        pair *= len(names)
+        pair += following
+        del following
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), tokens)
+        train = ~np.asarray(batch.column(1).to_pylist(), bool)
+        order = np.argsort(pair)
+        pair = pair[order]
+        fresh = np.ones(len(pair), bool)
+        fresh[1:] = pair[1:] != pair[:-1]
+        kinds = pair[fresh]
+        del pair
+        inverse = np.empty(len(order), np.int32)
+        inverse[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order, fresh
+        counts = np.bincount(inverse[train[doc]], minlength=len(kinds)).astype(np.uint32)
+        first, second = names[kinds // len(names)], names[kinds % len(names)]
+        del kinds, names
+        to = _part(np.where(first < limit, second, first), parts)
+        order = np.lexsort((first, to))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        first, second, counts, to = first[order], second[order], counts[order], to[order]
+        del order
+        rows = []
+        cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(to)]):
+            at = np.flatnonzero(np.diff(first[a:b], prepend=first[a] + np.uint64(1)) != 0)
+            rows.append((int(to[a]), _KINDS["model"], chunk, _pack(first[a:b][at], np.diff(np.append(at, b - a)).astype(np.uint32), second[a:b], counts[a:b])))
+        del first, second, counts
+        sums = doc.astype(np.int64) << 32
+        del doc
+        sums |= rank[inverse]
+        del inverse, rank
+        sums.sort()
+        own = (sums & 0xFFFFFFFF).astype(np.int32)
+        del sums
+        steps = np.diff(own, prepend=np.int32(0))
+        steps[stops - tokens] = own[stops - tokens]
+        ids = np.asarray([i is not None for i in batch.column(0).to_pylist()], np.uint8)
+        docs = np.asarray([i or 0 for i in batch.column(0).to_pylist()], np.int64)
+        lengths = np.diff(np.append(cuts, len(to))).astype(np.uint32)
+        rows.append((int(chunk % parts), _KINDS["docs"], chunk, _pack(docs, ids, (~train).astype(np.uint8), tokens.astype(np.uint32), steps.astype(np.uint32), to[cuts].astype(np.uint32), lengths)))
+        return _messages(rows)
+
     def run(batches):
         for number, batch in enumerate(gathered(batches, "text", 8 << 20)):
-            chunk = TaskContext.get().partitionId() << 24 | number
-            codes, bounds, words = words_of(batch.column(2))
-            names = np.concatenate([hashes(words), [START, END]]).astype(np.uint64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
-                names = np.where(hot[at] == names, at.astype(np.uint64) + np.uint64(HOT), names)
-            n = np.diff(bounds)
-            tokens = n + 1
-            stops = np.cumsum(tokens)
-            following = np.full(int(stops[-1]), len(names) - 1, np.int64)
-            place = np.ones(len(following), bool)
-            place[stops - 1] = False
-            following[place] = codes
-            before = np.concatenate([[0], following[:-1]])
-            before[stops - tokens] = len(names) - 2
-            doc = np.repeat(np.arange(len(n), dtype=np.int32), tokens)
-            train = ~np.asarray(batch.column(1).to_pylist(), bool)
-            kinds, inverse = np.unique(before * len(names) + following, return_inverse=True)
-            del before, following, place, codes
-            inverse = inverse.astype(np.int32)
-            counts = np.bincount(inverse, weights=train[doc], minlength=len(kinds)).astype(np.uint32)
-            first, second = names[kinds // len(names)], names[kinds % len(names)]
-            to = _part(np.where(first < limit, second, first), parts)
-            order = np.lexsort((first, to))
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order))
-            first, second, counts, to = first[order], second[order], counts[order], to[order]
-            rows = []
-            cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(to)]):
-                at = np.flatnonzero(np.diff(first[a:b], prepend=first[a] + np.uint64(1)) != 0)
-                rows.append((int(to[a]), _KINDS["model"], chunk, _pack(first[a:b][at], np.diff(np.append(at, b - a)).astype(np.uint32), second[a:b], counts[a:b])))
-            own = rank[inverse]
-            own = (np.sort(doc.astype(np.int64) << 32 | own) & 0xFFFFFFFF).astype(np.int32)
-            steps = np.diff(own, prepend=0)
-            steps[stops - tokens] = own[stops - tokens]
-            ids = np.asarray([i is not None for i in batch.column(0).to_pylist()], np.uint8)
-            docs = np.asarray([i or 0 for i in batch.column(0).to_pylist()], np.int64)
-            lengths = np.diff(np.append(cuts, len(to))).astype(np.uint32)
-            rows.append((int(chunk % parts), _KINDS["docs"], chunk, _pack(docs, ids, (~train).astype(np.uint8), tokens.astype(np.uint32), steps.astype(np.uint32), to[cuts].astype(np.uint32), lengths)))
-            yield from _messages(rows).to_batches()
+            yield from told(TaskContext.get().partitionId() << 24 | number, batch).to_batches()
+            del batch
+            relieve()  # each chunk begins without what the last one took
 
     return run
 

@@ -4,9 +4,11 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -284,6 +286,23 @@ def test_damage_is_seen(spark):
     assert read_whole(uri) == data
 
 
+def test_katz_chunks_are_lean(monkeypatch):
+    """Two chunks of 8 MB: what Python and numpy hold at once, in bytes for each byte of a chunk."""
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 1000) % 100_000) for _ in range(5000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5000)), "held_out": pa.array([False] * 5000), "text": pa.array(texts)})
+    batches = [batch.slice(i, 1000) for i in range(0, 5000, 1000)]
+    tracemalloc.start()
+    try:
+        tokens = sum(int(katz._unpack(p)[3].sum()) for b in katz._chunks(4, np.zeros(0, np.uint64))(batches) for k, p in zip(b["kind"].to_pylist(), b["payload"].to_pylist()) if k == katz._KINDS["docs"])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert tokens == 5000 * 1001 and sum(map(len, texts)) > 16 << 20
+    assert most / (8 << 20) < 10
+
+
 def test_spans(spark):
     passage = "The first one is here for us. The second one is there for you. The third one is nowhere at all."
     rows = [(1, f"Alpha opens this text. {passage} Alpha closes it."), (2, f"Beta opens. {passage.upper()}\nBeta closes."), (3, "Nothing here is like the others. Not at all. No."), (0, None)]
