@@ -377,6 +377,16 @@ def test_passages_that_cross_sentences(spark):
         spans.dedup(table, words=1)
 
 
+@pytest.mark.parametrize("words", [0, 50])
+def test_hits_are_merged_at_every_size(spark, words):
+    passage = "The first one is here for us. The second one is there for you. The third one is nowhere at all."
+    table = spark.createDataFrame([(1, f"Alpha. {passage}"), (2, f"Beta. {passage}"), (3, None)], "doc_id bigint, text string")
+    left = spans.dedup(table, words=words)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r["doc_id"]: r["n_removed"] for r in left.collect()} == {1: 0, 2: 3, 3: 0}
+
+
 def test_spans_within_a_text_and_without_spaces(spark):
     passage = "春天来了。花都开了！鸟儿在唱歌。我们去山上看花吧？"
     rows = [(1, f"第一篇的开头。{passage}第一篇的结尾。"), (2, f"另一篇由此开始。{passage}另一篇到此为止。"), (3, "A b.\nC d.\nE f.\nA b.\nC d.\nE f.\n")]
